@@ -8,15 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm.common import table
 from codeloom.llm.lpf import remove_repeats
+from codeloom.llm.simhash import simhash_groups
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_dedup": op2_suffix_dedup,
+        "op4_simhash": op4_simhash,
     }
 
 
