@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codeloom.llm import licenses, mixing
 from codeloom.llm.common import table
 from codeloom.llm.lpf import remove_repeats
+from codeloom.llm.quality import judge
+from codeloom.llm.secrets import scan_secrets
 from codeloom.llm.simhash import simhash_groups
 
 
@@ -19,12 +22,35 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_dedup": op2_suffix_dedup,
         "op4_simhash": op4_simhash,
+        "op7_mixing": op7_mixing,
+        "op8_licenses": op8_licenses,
+        "op9_quality": op9_quality,
+        "op10_secrets": op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_mixing": mixing.ORACLE.format(docs="documents"),
+        "op8_licenses": licenses.oracle(),
+    }
