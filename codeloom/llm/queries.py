@@ -12,6 +12,11 @@ from codeloom.llm.lpf import remove_repeats
 from codeloom.llm.quality import judge
 from codeloom.llm.secrets import scan_secrets
 from codeloom.llm.simhash import simhash_groups
+from codeloom.llm.warc import archive_pages
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +45,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op4_simhash": op4_simhash,
         "op7_mixing": op7_mixing,
