@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import licenses, mixing
 from codeloom.llm.common import table
+from codeloom.llm.decontam import find_leaks
 from codeloom.llm.lpf import remove_repeats
 from codeloom.llm.quality import judge
 from codeloom.llm.secrets import scan_secrets
@@ -27,6 +28,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op4_simhash": op4_simhash,
+        "op6_decontamination": op6_decontamination,
         "op7_mixing": op7_mixing,
         "op8_licenses": op8_licenses,
         "op9_quality": op9_quality,
