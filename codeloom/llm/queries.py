@@ -13,6 +13,7 @@ from codeloom.llm.lpf import remove_repeats
 from codeloom.llm.quality import judge
 from codeloom.llm.secrets import scan_secrets
 from codeloom.llm.simhash import simhash_groups
+from codeloom.llm.tokens import materialise_training_order
 from codeloom.llm.warc import archive_pages
 
 
@@ -28,6 +29,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise_training_order(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op4_simhash": op4_simhash,
+        "op5_token_shards": op5_token_shards,
         "op6_decontamination": op6_decontamination,
         "op7_mixing": op7_mixing,
         "op8_licenses": op8_licenses,
