@@ -14,6 +14,7 @@ from codeloom.llm.quality import judge
 from codeloom.llm.secrets import scan_secrets
 from codeloom.llm.simhash import simhash_groups
 from codeloom.llm.tokens import materialise_training_order
+from codeloom.llm.toxicity import score_documents
 from codeloom.llm.warc import archive_pages
 
 
@@ -25,6 +26,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_toxicity": op3_toxicity,
         "op4_simhash": op4_simhash,
         "op5_token_shards": op5_token_shards,
         "op6_decontamination": op6_decontamination,
