@@ -22,6 +22,7 @@ from codeloom.sources.cxx import closing_brace
 from codeloom.sources.files import exists
 
 _DEFINITION = re.compile(r"(?<![\w:.>])((?:\w+::)*~?\w+)\s*\([^;{}]*\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?\{")
+_MACRO = re.compile(r"[A-Z][A-Z0-9_]+")
 _CALL = re.compile(r"((?:\w+::)*\w+)\s*\(")
 _SCOPE = re.compile(r"\b(?:namespace|class|struct)\s+((?:\w+::)*\w+)[^;{}()]*\{")
 
@@ -52,7 +53,7 @@ def lexical_facts(text: str) -> tuple[list[tuple[str, int]], list[tuple[str, str
     scopes = [(m.start(), closing_brace(text, m.end() - 1), m[1]) for m in _SCOPE.finditer(text)]
     defs, calls = [], []
     for m in _DEFINITION.finditer(text):
-        if scope_last(m[1]) in KEYWORDS:
+        if scope_last(m[1]) in KEYWORDS or _MACRO.fullmatch(m[1]):
             continue
         inside = "::".join(s for a, b, s in scopes if a < m.start() < b)
         name = f"{inside}::{m[1]}" if inside else m[1]

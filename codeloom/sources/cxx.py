@@ -118,7 +118,7 @@ def kernels(files: DataFrame, skip_keywords: bool = True) -> DataFrame:
     """cuda_kernels of .cu and .cuh files; called_by: functions around the launches, each once, in order of place."""
     text = F.col("content")
     rows = files.where(F.col("ext").isin("cu", "cuh")).select("path", "content", matches(text, C.RE_KERNEL).alias("k"), matches(text, C.RE_LAUNCH).alias("l")).where(F.size("k") > 0)
-    launch = F.transform("l", lambda x: F.struct(F.regexp_extract(x["m"], f"(?U){C.RE_LAUNCH}", 1).alias("name"), enclosing(text, x["pos"], skip_keywords).alias("by")))
+    launch = F.transform("l", lambda x: F.named_struct(F.lit("name"), F.regexp_extract(x["m"], f"(?U){C.RE_LAUNCH}", 1), F.lit("by"), enclosing(text, x["pos"], skip_keywords)))
     rows = rows.select("path", launch.alias("l"), F.posexplode("k").alias("i", "k"))
     part = lambda g: F.nullif(F.regexp_extract("k.m", f"(?U){C.RE_KERNEL}", g), F.lit(""))
     rows = rows.select("path", "i", "l", F.col("k.line").alias("line"), part(1).alias("name"), part(2).alias("template_params"), F.regexp_extract("k.m", f"(?U){C.RE_KERNEL}", 3).alias("parameters"))
