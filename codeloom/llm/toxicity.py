@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,7 +91,16 @@ def _bags(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "y int, words array<string>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_words: int = 20_000, min_docs: int = 5, least_z: float = 3.5, epochs: int = 200, l1: float = 0.7) -> Model:
+def _feature_ids(words: pa.StringArray) -> Iterator[tuple[np.ndarray, pa.StringArray]]:
+    """For each kind of feature: its number for every word (-1: the word has none), and the features' names."""
+    yield np.arange(len(words), dtype=np.int32), words
+    for k in PREFIXES:
+        cut = pc.if_else(pc.greater(pc.utf8_length(words), k), pc.utf8_slice_codeunits(words, 0, k), None)
+        coded = cut.dictionary_encode()
+        yield coded.indices.fill_null(-1).to_numpy(zero_copy_only=False), pc.binary_join_element_wise(coded.dictionary, "*", "")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_words: int = 20_000, min_docs: int = 5, least_z: float = 3.5, epochs: int = 200, l1: float = 0.7) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic).
 
     Features are screened: in min_docs documents or more, and off the rate of toxic ones by least_z standard errors.
@@ -105,34 +115,39 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_words: int
     if not len(y) or y.min() == y.max():
         return Model({}, 20.0 if len(y) and y.min() == 1 else -20.0)
     words = rows.column("words").combine_chunks()
-    sizes = words.value_lengths().to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), words.value_lengths().to_numpy(zero_copy_only=False))
     coded = words.flatten().dictionary_encode()
-    names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    doc = np.repeat(np.arange(len(y)), sizes)
-    gap = code == names.index("")
-    sentence = np.cumsum(gap) - gap
+    del rows, words
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    gap = code == coded.dictionary.index("").as_py()
+    sentence = (np.cumsum(gap) - gap).astype(np.int32)
     owner = doc[gap]  # of each sentence
-    vocabulary: dict[str, int] = {}
-    made = [[vocabulary.setdefault(f, len(vocabulary)) for f in features(n)] for n in names]
-    many = np.array([len(f) for f in made], np.int64)
-    flat, first = np.array([i for f in made for i in f], np.int64), np.cumsum(many) - many
-    n = many[code]
-    places = np.repeat(first[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    code, doc, sentence = flat[places], np.repeat(doc, n), np.repeat(sentence, n)
-    names = list(vocabulary)
-    in_doc = np.unique(code * len(y) + doc)
-    in_doc = np.stack((in_doc // len(y), in_doc % len(y)))
-    frequency = np.bincount(in_doc[0], minlength=len(names))
-    toxic = np.bincount(in_doc[0], weights=y[in_doc[1]], minlength=len(names))
-    share = frequency / len(y)  # of all documents; as many of the toxic ones if the word says nothing
-    z = (toxic - y.sum() * share) / np.sqrt(y.sum() * share * (1 - share) * (1 - y.mean()) + 1e-9)
-    z[names.index("")] = 0
-    known = np.flatnonzero((frequency >= min_docs) & (np.abs(z) >= least_z))
-    known = known[np.argsort(-np.abs(z[known]), kind="stable")][:max_words]
-    place = np.full(len(names), -1)
-    place[known] = np.arange(len(known))
-    keep = place[code] >= 0
-    feature, at = place[code][keep], sentence[keep]
+    code, doc, sentence = code[~gap], doc[~gap], sentence[~gap]
+    seen = np.unique(code.astype(np.int64) * len(y) + doc)  # words by document
+    seen = (seen // len(y)).astype(np.int32), (seen % len(y)).astype(np.int32)
+    kept: list[tuple[str, float]] = []
+    parts = []
+    for ids, names in _feature_ids(coded.dictionary):
+        at = ids[seen[0]]
+        pairs = np.unique(at[at >= 0].astype(np.int64) * len(y) + seen[1][at >= 0])
+        frequency = np.bincount(pairs // len(y), minlength=len(names))
+        toxic = np.bincount(pairs // len(y), weights=y[pairs % len(y)], minlength=len(names))
+        share = frequency / len(y)  # of all documents; as many of the toxic ones if the feature says nothing
+        z = np.abs(toxic - y.sum() * share) / np.sqrt(y.sum() * share * (1 - share) * (1 - y.mean()) + 1e-9)
+        z[(frequency < min_docs) | np.array([n == "" for n in names.to_pylist()], bool)] = 0
+        kept += [(name, float(z[i])) for i, name in zip(np.flatnonzero(z >= least_z).tolist(), names.take(np.flatnonzero(z >= least_z)).to_pylist(), strict=True)]
+        place = np.full(len(names) + 1, -1, np.int32)  # the last is for words without this feature
+        place[np.flatnonzero(z >= least_z)] = np.arange((z >= least_z).sum())
+        parts.append(place[ids[code]])
+    first = np.cumsum([0, *[int(p.max(initial=-1)) + 1 for p in parts]])
+    strongest = np.argsort([-z for _, z in kept], kind="stable")[:max_words]
+    known = np.sort(strongest)
+    rank = np.full(len(kept) + 1, -1, np.int32)
+    rank[known] = np.arange(len(known))
+    columns = [(rank[np.where(p >= 0, p + f, -1)], sentence) for p, f in zip(parts, first[:-1], strict=True)]
+    feature = np.concatenate([f[f >= 0] for f, _ in columns])
+    at = np.concatenate([s[f >= 0] for f, s in columns])
+    del parts, columns, code, doc, sentence, seen
     w, bias = np.zeros(len(known)), -5.0
     m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     for step in range(1, epochs + 1):
@@ -147,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_words: int
         move = rate * m / (1 - 0.9**step)
         w, bias = w - move[:-1], bias - move[-1]
         w = np.sign(w) * np.maximum(np.abs(w) - rate[:-1] * l1 * min(1.0, step / epochs * 2) / len(y), 0)  # proximal step of the l1 penalty, which sets in by and by
-    return Model({names[k]: float(x) for k, x in zip(known.tolist(), w.tolist(), strict=True) if abs(x) > 1e-3}, float(bias))
+    return Model({kept[k][0]: float(x) for k, x in zip(known.tolist(), w.tolist(), strict=True) if abs(x) > 1e-3}, float(bias))
 
 
 def with_scores(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
