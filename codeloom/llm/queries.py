@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import licenses, mixing
+from codeloom.llm import licenses, mixing, sql
 from codeloom.llm.common import table
 from codeloom.llm.decontam import find_leaks
 from codeloom.llm.lpf import remove_repeats
@@ -75,6 +75,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": sql.op1(),
         "op7_mixing": mixing.ORACLE.format(docs="documents"),
         "op8_licenses": licenses.oracle(),
+        "op9_quality": sql.op9(),
+        "op10_secrets": sql.op10(),
     }
