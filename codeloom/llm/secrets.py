@@ -1,8 +1,9 @@
 """Operator 10: secret scan with corpus-wide ownership frequency. DataFrame functions only.
 
-Base kinds are found by fixed patterns and always stay. Further candidates (tokens of known issuers, key headers, random-looking
-strings) are hashed and aggregated over the whole corpus by repository and owner: a value that several owners hold is
-an example that was copied about; one that a single owner holds looks live and is added. Counts are pre-aggregated by
+Base kinds are found by fixed patterns and always stay. Further candidates are tokens of known issuers, key headers and random-looking
+strings. The values of all candidates are hashed and aggregated over the whole corpus by repository and owner: a value that
+several owners hold is an example that was copied about; one that a single owner holds looks live. Base spans are told apart
+by it, further candidates are added only if they look live. Counts are pre-aggregated by
 (value, owner, repository), then (value, owner), then value, so a value in a third of all rows costs one row for each task.
 
 Positions are code points: a text is split by a pattern, and the lengths of pieces and matches add up.
@@ -66,7 +67,7 @@ def _shown(spans: Column) -> Column:
 def scan_secrets(docs: DataFrame, repository: str = "source", owner: str = "source", max_owners: int = 1) -> DataFrame:
     """docs (doc_id, text, repository, owner) -> doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples.
 
-    max_owners: a further candidate held by more owners than this is an example. n_live: candidates added; n_examples: not added.
+    max_owners: a value held by more owners than this is an example. n_live, n_examples: candidates of the document (base ones, too) of either sort.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(repository).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"))
     value = lambda x: F.regexp_extract(x["m"], ASSIGN, 2)
@@ -82,19 +83,20 @@ def scan_secrets(docs: DataFrame, repository: str = "source", owner: str = "sour
     rows = rows.withColumn("base", F.concat("assign", "access", "hex"))
     apart = lambda x: ~F.exists("base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
     rows = rows.withColumn("more", F.filter("more", lambda x: looks(x) & apart(x)))
-    slim = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.sha2(x["m"], 256).alias("h")))
+    slim = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.sha2(F.when(x["k"] == 0, value(x)).otherwise(x["m"]), 256).alias("h")))
     rows = rows.select("doc_id", "repo", "owner", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("assign", "access", "hex")], slim("base").alias("base"), slim("more").alias("more"))
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "secrets")
 
-    found = rows.where(F.size("more") > 0).select("row", "repo", "owner", F.explode("more").alias("x"))
+    found = rows.where(F.size("base") + F.size("more") > 0).select("row", "repo", "owner", F.explode(F.concat("base", "more")).alias("x"))
     held = found.select(F.col("x.h").alias("h"), "owner", "repo").groupBy("h", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
     held = held.groupBy("h", "owner").agg(F.count(F.lit(1)).alias("repos")).groupBy("h").agg(F.count(F.lit(1)).alias("owners"))
     judged = found.select("row", "x", F.col("x.h").alias("h")).join(held, "h")
     live = F.col("owners") <= max_owners
-    judged = judged.groupBy("row").agg(F.collect_list(F.when(live, F.col("x"))).alias("live"), F.count_if(~live).alias("n_examples"))
+    added = F.collect_list(F.when(live & (F.col("x.k") > 2), F.col("x")))
+    judged = judged.groupBy("row").agg(added.alias("live"), F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_examples"))
     rows = rows.drop("more", "repo", "owner").join(judged, "row", "left")
     live = F.coalesce("live", F.expr("filter(base, x -> false)"))
     return rows.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(_shown(F.col("base")), 256).alias("base_sha256"), _shown(F.concat("base", live)).alias("spans"),
-        F.size(live).cast("long").alias("n_live"), F.coalesce("n_examples", F.lit(0)).cast("long").alias("n_examples"),
+        F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_examples", F.lit(0)).cast("long").alias("n_examples"),
     )

@@ -68,10 +68,11 @@ base AS ({spans(S.ASSIGN, "0", f"length(regexp_extract(m, '{quoted(S.ASSIGN)}',
 UNION ALL {spans(S.ACCESS, "1", "length(m) >= 18")}
 UNION ALL {spans(S.HEX, "2", "true")}),
 more AS (SELECT * FROM ({spans(S.MORE, kinds, looks)}) x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s < x.e AND x.s < b.e)),
-held AS (SELECT m, count(DISTINCT coalesce(owner, chr(0))) AS owners FROM more GROUP BY m),
-judged AS (SELECT more.*, owners <= {max_owners} AS live FROM more JOIN held USING (m)),
+every AS (SELECT *, CASE WHEN k = 0 THEN regexp_extract(m, '{quoted(S.ASSIGN)}', 2) ELSE m END AS v FROM (SELECT * FROM base UNION ALL SELECT * FROM more)),
+held AS (SELECT v, count(DISTINCT coalesce(owner, chr(0))) AS owners FROM every GROUP BY v),
+judged AS (SELECT every.*, owners <= {max_owners} AS live FROM every JOIN held USING (v)),
 b AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex, string_agg({shown}) AS shown FROM base GROUP BY doc_id),
-a AS (SELECT doc_id, string_agg({shown}) AS shown FROM (SELECT doc_id, k, s, e FROM base UNION ALL SELECT doc_id, k, s, e FROM judged WHERE live) GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg({shown}) AS shown FROM (SELECT doc_id, k, s, e FROM base UNION ALL SELECT doc_id, k, s, e FROM judged WHERE live AND k > 2) GROUP BY doc_id),
 j AS (SELECT doc_id, count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_examples FROM judged GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(b.shown, '')) AS base_sha256, coalesce(a.shown, '') AS spans,
   coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_examples, 0)::BIGINT AS n_examples
