@@ -1 +1 @@
-"""streaming of the code-lineage engine."""
+"""Structured Streaming: incremental re-indexing."""
