@@ -36,22 +36,33 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 #: One byte lane for each bit of a byte.
 _LANES = np.array([sum(1 << (8 * b) for b in range(8) if v >> b & 1) for v in range(256)], np.uint64)
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
 # ---------------------------------------------------------------- fingerprints
 
 
-def shingle_hashes(text: str | None, size: int) -> list[int]:
-    words = (text or "").encode().translate(_LOWER).split()  # bytes.split() parts at the six ASCII white spaces
-    if not words:
-        return []
-    joined = b" ".join(words)
-    if len(words) <= size:
-        return [xxhash.xxh64_intdigest(joined, SEED)]
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[: len(words) - size] + 1)).tolist()
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """XXH64 of every shingle; of the whole sequence if it has no more than size words. Long texts are hashed in parts."""
+    raw = np.frombuffer((text or "").encode().translate(_LOWER), np.uint8)
+    gap = _WHITE[raw]
+    keep = ~gap
+    keep[1:] |= ~gap[:-1]  # one white space after each word
+    flat = np.where(gap[keep], np.uint8(32), raw[keep])
+    flat = flat[:-1] if len(flat) and flat[-1] == 32 else flat
+    if not len(flat):
+        return np.empty(0, np.uint64)
+    joined, ends = flat.tobytes(), np.append(np.flatnonzero(flat == 32), len(flat))
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)]
+    if len(ends) <= size:
+        return np.array([digest(joined, SEED)], np.uint64)
+    starts, ends = np.append(0, ends[: len(ends) - size] + 1), ends[size - 1 :]
+    out = np.empty(len(starts), np.uint64)
+    for lo in range(0, len(starts), 1 << 16):
+        part = slice(lo, lo + (1 << 16))
+        out[part] = [digest(joined[a:b], SEED) for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
+    return out
 
 
 def fold(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -100,23 +111,26 @@ def with_fingerprints(df: DataFrame, shingle: int = 3, text: str = "text", fp: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, bands = [], []
-            hashes: list[int] = []
+            hashes: list[np.ndarray] = []
             sizes: list[int] = []
 
             def flush(hashes=hashes, sizes=sizes, fps=fps, bands=bands) -> None:
-                h, n = np.array(hashes, np.uint64), np.array(sizes, np.int64)
+                h, n = np.concatenate([np.empty(0, np.uint64), *hashes]), np.array(sizes, np.int64)
                 fps.append(fold(h, n))
                 if keys:
                     bands.append(minhash_keys(h, n))
                 hashes.clear()
                 sizes.clear()
 
+            waiting = 0
             for value in batch.column(text):
                 x = shingle_hashes(value.as_py(), shingle)
-                hashes += x
+                hashes.append(x)
                 sizes.append(len(x))
-                if len(hashes) > 200_000:
+                waiting += len(x)
+                if waiting > 200_000:
                     flush()
+                    waiting = 0
             flush()
             columns = [*batch.columns, pa.array(np.concatenate(fps).view(np.int64))]
             if keys:

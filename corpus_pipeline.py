@@ -7,6 +7,7 @@ but the last return the columns of documents. No stage loses a row to a null, em
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codeloom.llm.common import materialize, table
 from codeloom.llm.decontam import drop_leaks
@@ -33,7 +34,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are replicated to equal weights (operator 7). A document occurs as often as it was drawn."""
-    return mix_sources(docs).select(*docs.columns)
+    own = {c: f"__own_{c}" for c in ("n_copies", "replica", "shuffle_key") if c in docs.columns}  # names that mixing adds
+    return mix_sources(docs.withColumnsRenamed(own)).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
