@@ -199,7 +199,7 @@ def _repeated(hot: int):
     return run
 
 
-META = np.dtype([("key", "<i8"), ("rank", "<i4"), ("start", "<i8"), ("windows", "<i4"), ("split", "?")])
+META = np.dtype([("key", "<i8"), ("rank", "<i4"), ("start", "<i8"), ("windows", "<i4"), ("anchor", "<u4"), ("split", "?")])
 
 
 def _ship(min_len: int, n_buckets: int):
@@ -221,6 +221,7 @@ def _ship(min_len: int, n_buckets: int):
         doc = np.searchsorted(offsets, first, "right") - 1
         meta = np.zeros(len(h), META)
         meta["key"], meta["rank"], meta["start"], meta["windows"], meta["split"] = ids[doc], doc, first - offsets[doc], last - first + 1, parts > 1
+        meta["anchor"] = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         salt = _mix(h, (block % parts.astype(np.int64)).astype(np.uint64))
         bucket = ((salt >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
         data, seen = buf.tobytes(), set()
@@ -303,8 +304,12 @@ def _mark(min_len: int):
             rows = np.flatnonzero(copy)
             if len(rows):
                 emit(False, block[rows], meta[rows], meta["start"][rows], (meta["start"] + meta["windows"] - 1)[rows])
+            # equal windows have equal anchors: a segment whose anchor no other distinct one has is not repeated
+            kept, kblock = meta[~copy], block[~copy]
+            shared = np.unique(kept["anchor"], return_inverse=True, return_counts=True)
+            rows = np.flatnonzero((shared[2][shared[1]] > 1) | kept["split"])
+            kept, kblock, distinct = kept[rows], kblock[rows], [distinct[i] for i in rows]
             if len(distinct):
-                kept, kblock = meta[~copy], block[~copy]
                 text = b"".join(distinct)
                 n = kept["windows"].astype(np.int64)
                 base = np.cumsum(n + min_len - 1) - (n + min_len - 1)
