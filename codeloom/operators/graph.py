@@ -53,7 +53,10 @@ def impact(edges: DataFrame, name: str, depth: int = 2, fuzzy: bool = True, limi
     """
     depth = clamp(depth, 1, limit_depth)
     spark = edges.sparkSession
-    start = qualified_match(_named(spark, name), vertices(edges), fuzzy).select(F.col("name").alias("callee"))
+    if edges.where((F.col("caller") == name) | (F.col("callee") == name)).isEmpty():  # an exact name needs no look at all others
+        start = qualified_match(_named(spark, name), vertices(edges), fuzzy).select(F.col("name").alias("callee"))
+    else:
+        start = spark.createDataFrame([(name,)], "callee string")
     frontier, seen = start, None
     for level in range(1, depth + 1):
         step = edges.join(frontier, "callee", "left_semi").select(F.col("caller").alias("name")).where(F.col("name") != name).distinct()
