@@ -11,6 +11,9 @@ grow by carry-save counters, one plane at a time, and a block is abandoned when
 A block beyond ``limit`` fingerprints is compared as pairs of parts in tasks of their own: no partner is capped.
 Blocks give spanning links (each fingerprint to the smallest of its group there), and components() joins them.
 
+``drop_near_copies`` takes such groups, at a wide radius, only as places to look: fingerprints there are of shingle sets, each group's distinct
+sets meet once, and ``verified_links`` links those of exact Jaccard similarity ``least`` or more, whichever pair of the group they are.
+
 Edge cases: a null or wordless text has fingerprint zero and links like any other; shorter texts are one shingle; a group's
 id is its smallest doc_id (null only if all are null); repeated rows stay as rows; an empty table gives no rows.
 """
@@ -105,12 +108,19 @@ def minhash_keys(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return key ^ np.arange(BINS // BAND_ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
+
+
 def with_fingerprints(df: DataFrame, shingle: int = 3, text: str = "text", fp: str = "fp", keys: str | None = None) -> DataFrame:
-    """Adds column fp (long) and, if keys is given, an array of MinHash band keys. All other columns pass."""
+    """Adds column fp (long) and, if keys is given, an array of MinHash band keys. All other columns pass.
+
+    With keys, a shingle counts once a text, and columns set_id (XXH128 of the set of shingles) and set_size come last.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, bands = [], []
+            fps, bands, ids, counts = [], [], [], []
             hashes: list[np.ndarray] = []
             sizes: list[int] = []
 
@@ -124,7 +134,10 @@ def with_fingerprints(df: DataFrame, shingle: int = 3, text: str = "text", fp: s
 
             waiting = 0
             for value in batch.column(text):
-                x = shingle_hashes(value.as_py(), shingle)
+                x = (shingle_set if keys else shingle_hashes)(value.as_py(), shingle)
+                if keys:
+                    ids.append(xxhash.xxh3_128_digest(x.tobytes()))
+                    counts.append(len(x))
                 hashes.append(x)
                 sizes.append(len(x))
                 waiting += len(x)
@@ -136,12 +149,12 @@ def with_fingerprints(df: DataFrame, shingle: int = 3, text: str = "text", fp: s
             if keys:
                 flat = np.concatenate(bands)
                 columns.append(pa.ListArray.from_arrays(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32), flat.reshape(-1).view(np.int64)))
+                columns += [pa.array(ids, pa.binary()), pa.array(counts, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    names = [fp] + ([keys] if keys else [])
-    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)]
-    fields += [T.StructField(f"c{len(fields)}", T.LongType())] + ([T.StructField(f"c{len(fields) + 1}", T.ArrayType(T.LongType()))] if keys else [])
-    return df.mapInArrow(run, T.StructType(fields)).toDF(*df.columns, *names)
+    names = [fp] + ([keys, "set_id", "set_size"] if keys else [])
+    types = [f.dataType for f in df.schema.fields] + [T.LongType()] + ([T.ArrayType(T.LongType()), T.BinaryType(), T.LongType()] if keys else [])
+    return df.mapInArrow(run, T.StructType([T.StructField(f"c{i}", t) for i, t in enumerate(types)])).toDF(*df.columns, *names)
 
 
 # ---------------------------------------------------------------- bit-sliced comparison
@@ -335,17 +348,127 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, limit: in
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 12) -> DataFrame:
+# ---------------------------------------------------------------- exact similarity
+
+
+def _like(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For each of some distinct non-empty sets the position of the first set of its component of Jaccard similarity least or more."""
+    size = np.array([len(x) for x in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first = np.cumsum(size) - size
+    root, marked = np.arange(len(sets)), np.zeros(flat.max() + 1, bool)
+    todo, rest, n = root[1:].copy(), flat[size[0] :], size[1:]  # sets not reached, their shingles and sizes
+    seed, frontier = 0, [0]
+    while len(todo):
+        if not frontier:
+            seed = todo[0]
+            frontier, todo, rest, n = [seed], todo[1:], rest[n[0] :], n[1:]
+            continue
+        i = frontier.pop()
+        own = flat[first[i] : first[i] + size[i]]
+        marked[own] = True
+        common = np.add.reduceat(marked[rest], np.cumsum(n) - n, dtype=np.int64)
+        marked[own] = False
+        near = common / (size[i] + n - common) >= least
+        if near.any():
+            root[todo[near]] = seed
+            frontier += todo[near].tolist()
+            rest, todo, n = rest[np.repeat(~near, n)], todo[~near], n[~near]
+    return root
+
+
+def _links_of_sets(rows: DataFrame, least: float) -> DataFrame:
+    """rows (unit, set_id, shingles) -> a, b: links that span the components among each unit's sets."""
+
+    def solve(units: np.ndarray, ids: list[bytes], sets: list[bytes]) -> pa.RecordBatch:
+        a, b = [], []
+        cuts = [*np.flatnonzero(np.append(True, units[1:] != units[:-1])[: len(units)]).tolist(), len(units)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            own = dict(zip(ids[lo:hi], sets[lo:hi], strict=True))
+            names = sorted(own)
+            if len(names) > 1:
+                root = _like([np.frombuffer(own[k], np.uint64) for k in names], least)
+                for i in np.flatnonzero(root != np.arange(len(root))).tolist():
+                    a.append(names[i])
+                    b.append(names[root[i]])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, ids, sets = np.empty(0, np.int64), [], []
+        for batch in batches:  # sorted by unit; the last unit's rows wait for the next batch
+            units = np.concatenate((units, batch.column(0).to_numpy()))
+            ids += batch.column(1).to_pylist()
+            sets += batch.column(2).to_pylist()
+            cut = int(np.searchsorted(units, units[-1])) if len(units) else 0
+            if cut:
+                yield solve(units[:cut], ids[:cut], sets[:cut])
+                units, ids, sets = units[cut:], ids[cut:], sets[cut:]
+        yield solve(units, ids, sets)
+
+    return rows.repartition(partitions(rows.sparkSession), "unit").sortWithinPartitions("unit").mapInArrow(run, "a binary, b binary")
+
+
+def verified_links(wanted: DataFrame, texts: DataFrame, shingle: int, least: float, limit: int = 1 << 20) -> DataFrame:
+    """wanted (root, set_id, set_size), texts (the same, text), a row for each set -> a, b: links of exact similarity that span the components of each root.
+
+    limit: shingles that meet in one task. The sets of a larger root are dealt to parts, each with one set of all parts beside it. Those that this
+    leaves outside of the root's largest component then meet every part, so a large group of like texts is sent twice and not once for each part.
+    """
+    sizes = wanted.groupBy("root").agg(F.sum("set_size").alias("total"), F.min("set_id").alias("hub"))
+    sizes = materialize(sizes.select("root", "hub", F.ceil(F.col("total") / limit).alias("parts")), "sizes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sets = [shingle_set(t, shingle).tobytes() for t in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], names=["root", "set_id", "set_size", "shingles"])
+
+    sets = texts.select("root", "set_id", "set_size", "text").mapInArrow(run, "root long, set_id binary, set_size long, shingles binary")
+    part = lambda n: F.pmod(F.xxhash64("set_id"), F.col(n))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    hot = sizes.where("parts > 1")
+    if hot.isEmpty():
+        return _links_of_sets(sets.select(F.col("root").alias("unit"), "set_id", "shingles"), least)
+    sets = materialize(sets.join(sizes, "root"), "sets")
+    own = F.explode(F.when(F.col("set_id") == F.col("hub"), every("parts")).otherwise(F.array(part("parts"))))
+    links = materialize(_links_of_sets(sets.withColumn("own", own).select(F.xxhash64("root", "own").alias("unit"), "set_id", "shingles"), least), "links")
+    large = sets.where("parts > 1")
+    found = components(links).select(F.col("node").alias("set_id"), F.col("root").alias("found"))
+    placed = large.select("root", "set_id", "set_size").join(found, "set_id", "left").withColumn("found", F.coalesce("found", "set_id"))
+    weights = placed.groupBy("root", "found").agg(F.sum("set_size").alias("weight"))
+    largest = weights.groupBy("root").agg(F.max(F.struct("weight", "found"))["found"].alias("largest"))
+    rest = materialize(placed.join(largest, "root").where("found <> largest").select("root", "set_id", "set_size"), "rest")
+    slices = rest.groupBy("root").agg(F.ceil(F.sum("set_size") / limit).alias("slices"))
+    large = large.join(slices, "root")
+    one = large.join(rest.select("set_id"), "set_id", "left_semi").withColumn("i", part("slices")).withColumn("j", F.explode(every("parts")))
+    other = large.withColumn("j", part("parts")).withColumn("i", F.explode(every("slices")))
+    unit = [F.xxhash64("root", "i", "j").alias("unit"), "set_id", "shingles"]
+    return links.unionByName(_links_of_sets(one.select(*unit).unionByName(other.select(*unit)), least))
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 12, least: float = 0.8, limit: int = 1 << 20) -> DataFrame:
     """docs without near copies: of each group one row stays, with all its columns: that of the smallest doc_id (null: last).
 
-    Among rows that share that doc_id the one whose text has the smallest hash stays; of equal rows one stays.
+    Texts are linked if their sets of shingles have a Jaccard similarity of least or more. radius: within which pairs are looked for; it decides
+    nothing by itself. Among rows that share the smallest doc_id the one whose text has the smallest hash stays; of equal rows one stays.
     """
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.xxhash64("text").alias("h")]
-    rows = materialize(with_fingerprints(docs.select(*key, "text"), shingle, keys="keys").select("d", "h", "fp", "keys"), "simhash")
-    groups = near_groups(rows.select(F.col("d").alias("doc_id"), "fp", "keys"), radius, "keys")
-    stay = rows.select("d", "h", "fp").join(groups, "fp").groupBy("component_id").agg(F.min(F.struct("d", "h")).alias("at"))
+    rows = materialize(with_fingerprints(docs.select(*key, "text"), shingle, keys="keys").select("d", "h", "fp", "keys", "set_id", "set_size"), "simhash")
+    repeated = not rows.groupBy("d", "h").count().where("count > 1").isEmpty()
+    places = components(near_links(rows.select(F.explode("keys").alias("key"), "fp").distinct(), radius)).select(F.col("node").alias("fp"), "root")
+    nodes = rows.groupBy("set_id").agg(F.min("fp").alias("fp"), F.min("set_size").alias("set_size"), F.min(F.struct("d", "h")).alias("at"))
+    nodes = materialize(nodes.join(places, "fp", "left").withColumn("root", F.coalesce("root", "fp")).drop("fp"), "nodes")
+    shared = nodes.where("set_size > 0").groupBy("root").count().where("count > 1").select("root")
+    wanted = nodes.where("set_size > 0").join(shared, "root").select("root", "set_id", "set_size", "at.d", "at.h")
+    wanted = materialize(wanted, "wanted")
+    texts = docs.select(*key, "text").join(wanted, ["d", "h"])
+    if repeated:
+        texts = texts.dropDuplicates(["set_id"])
+    found = components(verified_links(wanted, texts, shingle, least, limit)).select(F.col("node").alias("set_id"), F.col("root").alias("found"))
+    stay = nodes.select("set_id", "at").join(found, "set_id", "left").groupBy(F.coalesce("found", "set_id").alias("found")).agg(F.min("at").alias("at"))
     stay = stay.select(F.col("at.d").alias("__d"), F.col("at.h").alias("__h"))
     out = docs.withColumns({"__d": key[0], "__h": key[1]}).join(stay, ["__d", "__h"], "left_semi")
-    if not rows.groupBy("d", "h").count().where("count > 1").isEmpty():
+    if repeated:
         out = out.dropDuplicates(["__d", "__h"])
     return out.select(*docs.columns)
