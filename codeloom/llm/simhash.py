@@ -447,7 +447,7 @@ def verified_links(wanted: DataFrame, texts: DataFrame, shingle: int, least: flo
     return links.unionByName(_links_of_sets(one.select(*unit).unionByName(other.select(*unit)), least))
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 12, least: float = 0.8, limit: int = 1 << 20) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 20, least: float = 0.8, limit: int = 1 << 20) -> DataFrame:
     """docs without near copies: of each group one row stays, with all its columns: that of the smallest doc_id (null: last).
 
     Texts are linked if their sets of shingles have a Jaccard similarity of least or more. radius: within which pairs are looked for; it decides

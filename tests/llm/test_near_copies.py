@@ -59,6 +59,13 @@ def kept(spark, rows, **settings):
     return sorted(r.doc_id for r in S.drop_near_copies(df, **settings).collect())
 
 
+def test_pairs_of_the_least_similarity_go(spark):
+    rows = pairs(1, 300, 0.8, 0.83)
+    sets = sets_of(rows)
+    assert all(0.8 <= jaccard(sets[i], sets[i + 1]) < 0.83 for i in range(0, 600, 2))
+    assert sum(d % 2 for d in kept(spark, rows)) <= 6
+
+
 def test_less_similar_documents_stay(spark):
     rng = random.Random(2)
     rows = pairs(3, 150, 0.7, 0.79)
