@@ -1,11 +1,14 @@
 """Operator 5: token-ID shards in training order.
 
 Texts become token ids of a byte-level BPE vocabulary, each document ended by ``eos``, cut into sequences of ``length`` ids. A keyed
-Feistel permutation with cycle-walking sends every sequence's index (document place x sequences, a domain known before any text is
+Feistel permutation with cycle-walking sends every sequence's index (row's place x sequences, a domain known before any text is
 read into tokens) to a slot of the same domain; range partitions of the slots are sorted and written as shards of fixed
 stride, so the n-th record of a shard is one seek away and a reader resumes from any record. A record's global place in training
 order is the records of the shards before plus its own number: ``training_order`` gives it from the manifest.
 
+A row's place is its doc_id if no two rows share one. Else rows are numbered in the order of (doc_id, text hashes), equal rows one after the
+other, so every copy of a document has slots of its own; equal rows are read into tokens once.
+
 Tokens are made once and shuffled once, in compressed blobs: one for each input batch and shard. The number of shards follows
 the input's bytes, so a shard fits a task. A task writes under a fresh name and reports it, so a repeated attempt is harmless; the
 order is the same on every run.
@@ -13,7 +16,7 @@ order is the same on every run.
 Record: doc_id int64, sequence int32, tokens int32 (little endian), then ``length`` ids as uint16, padded with eos.
 
 Edge cases: a null or empty text is one record of eos alone; a null doc_id takes the place after the largest and is written as the largest
-int64; rows that share a doc_id share slots and are ordered by their tokens; an empty table writes nothing.
+int64; rows that share a doc_id are scattered like any others; an empty table writes nothing.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import NULL_ID, partitions, shared_dir
+from codeloom.llm.common import NULL_ID, materialize, partitions, shared_dir
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's pre-tokenizer parts a text.
@@ -41,6 +44,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 EOS = 50256
 LENGTH = 256
 KEY = 0x5EED
+#: Characters that are read into tokens at once, copies counted.
+BATCH = 4 << 20
 HEAD = np.dtype([("doc_id", "<i8"), ("sequence", "<i4"), ("tokens", "<i4")])
 
 
@@ -87,6 +92,39 @@ def feistel(index: np.ndarray, domain: int, key: int, rounds: int = 6) -> np.nda
     return out
 
 
+def _numbered(docs: DataFrame, longest: int) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, text, place, copies: equal rows once, with the first of their places. Places are 0 to rows - 1.
+
+    Only counts are sorted. Rows of many copies are parted, so that no task writes all copies of one document.
+    """
+    n, key = partitions(docs.sparkSession), ["doc_id", "h", "g"]
+    docs = docs.withColumns({"h": F.xxhash64("text"), "g": F.xxhash64(F.lit(1), "text")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            ends = before + np.cumsum(batch.column(3).to_numpy())
+            if len(ends):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - batch.column(3).to_numpy())], names=[*key, "copies", "inside"])
+                before = int(ends[-1])
+
+    counts = docs.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).repartitionByRange(n, *key).sortWithinPartitions(*key)
+    counts = materialize(counts.mapInArrow(run, "doc_id long, h long, g long, copies long, inside long").withColumn("part", F.spark_partition_id()), "counts")
+    sums = counts.groupBy("part").agg(F.sum("copies").alias("sum"))  # a row for each of n partitions
+    before = F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    counts = counts.join(F.broadcast(sums), "part").select(*key, "copies", (F.col("before") + F.col("inside")).alias("place"))
+    rows = docs.dropDuplicates(key).join(counts, key)
+    step = F.greatest(F.lit(1), F.least(F.lit(1024), F.floor(F.lit(BATCH) / (F.coalesce(F.octet_length("text"), F.lit(0)) + 1)))).cast("long")
+    rows, copies = rows.withColumn("step", step), counts.agg(F.max("copies")).first()[0]
+    parted = rows.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.col("step"))))
+    if copies > 1024 or copies * (longest + 1) > BATCH:
+        some = parted.where("copies > step").repartition(n, *key, "at")
+        parted = rows.where("copies <= step").withColumn("at", F.lit(0).cast("long")).unionByName(some)
+    rows = parted
+    return rows.select("doc_id", "text", (F.col("place") + F.col("at")).alias("place"), F.least("step", F.col("copies") - F.col("at")).alias("copies"))
+
+
 def write_shards(
     docs: DataFrame, folder: str | None = None, tokenizer: str = TOKENIZER, length: int = LENGTH, eos: int = EOS, key: int = KEY, shard_bytes: int = 64 << 20
 ) -> DataFrame:
@@ -96,28 +134,37 @@ def write_shards(
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "tokens")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(F.octet_length("text")).alias("bytes"), F.max(F.octet_length("text")).alias("longest")).first()
-    low, span = size.low or 0, (size.high or 0) - (size.low or 0) + 2  # one place for null ids
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
+    real = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
+    size = docs.agg(F.min(real).alias("low"), F.max(real).alias("high"), F.sum(F.octet_length("text")).alias("bytes"), F.max(F.octet_length("text")).alias("longest"), F.count(F.lit(1)).alias("rows")).first()
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        low, span = size.low or 0, (size.high or 0) - (size.low or 0) + 2  # one place for null ids
+        docs = docs.select("doc_id", "text", F.coalesce(real - low, F.lit(span - 1)).alias("place"), F.lit(1).cast("long").alias("copies"))
+    else:
+        span, docs = size.rows, _numbered(docs, size.longest or 0)
     most = (size.longest or 0) // length + 1  # byte-level tokens are no more than bytes; one more for eos
     domain = span * most
     if domain >= 1 << 62:
         raise ValueError("doc_ids lie too far apart for 62 bits of slots; number the documents first")
-    shards = max(partitions(spark), math.ceil((size.bytes or 0) / shard_bytes))
+    record = np.dtype([("head", HEAD), ("ids", "<u2", (length,))])
+    shards = max(partitions(spark), math.ceil(((size.bytes or 0) + size.rows * record.itemsize) / shard_bytes))  # a row is one record at least
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                ids = part.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            weight = np.cumsum([len(t or "") * c + 1024 for t, c in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)])
+            cuts = np.flatnonzero(np.diff(weight // BATCH, prepend=-1)).tolist()
+            for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=False):
+                part = batch.slice(lo, hi - lo)
+                ids, place, copies = (part.column(c).to_numpy() for c in (0, 2, 3))
                 tokens = [np.append(encode(t, tokenizer), np.uint16(eos)) for t in part.column(1).to_pylist()]
                 sizes = np.array([len(t) for t in tokens], np.int64)
-                n = (sizes + length - 1) // length
-                doc = np.repeat(np.arange(len(sizes)), n)
+                copy = np.repeat(np.arange(len(sizes)), copies)  # the row of each copy
+                place = place[copy] + np.arange(len(copy)) - np.repeat(np.cumsum(copies) - copies, copies)
+                n = (sizes[copy] + length - 1) // length
                 number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                place = np.where(ids == NULL_ID, span - 1, ids - low)
-                slot = feistel(place[doc].astype(np.uint64) * np.uint64(most) + number.astype(np.uint64), domain, key)
+                slot = feistel(np.repeat(place, n).astype(np.uint64) * np.uint64(most) + number.astype(np.uint64), domain, key)
+                doc = np.repeat(copy, n)
                 head = np.zeros(len(doc), HEAD)
                 head["doc_id"], head["sequence"], head["tokens"] = ids[doc], number, np.minimum(length, sizes[doc] - number * length)
                 flat = np.concatenate(tokens)
@@ -143,14 +190,10 @@ def write_shards(
             bodies.append(np.frombuffer(data, np.uint16, offset=(8 + HEAD.itemsize) * n))
         slot, head, body = np.concatenate(slots), np.concatenate(heads), np.concatenate(bodies)
         first = np.cumsum(head["tokens"], dtype=np.int64) - head["tokens"]
-        order = np.argsort(slot, kind="stable")
-        tied = slot[order][1:] == slot[order][:-1]
-        if tied.any():
-            order = np.array(sorted(order.tolist(), key=lambda i: (slot[i], body[first[i] : first[i] + head["tokens"][i]].tobytes())))
+        order = np.argsort(slot)  # no two records share a slot
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         path = f"{root}/{batch_key[0].as_py():08d}-{uuid.uuid4().hex}.bin"
-        record = np.dtype([("head", HEAD), ("ids", "<u2", (length,))])
         with store.open_output_stream(path, compression=None) as out:
             for lo in range(0, len(order), 8192):
                 some = order[lo : lo + 8192]
