@@ -4,12 +4,12 @@ A document is a bag of sentences. A sentence's probability is a logistic functio
 noisy-or of its sentences': 1 - product(1 - p). Only document labels are known, and the gradient of the noisy-or tells which
 sentences they speak of, so the model also locates offending sentences (``locate``).
 
-The model is fitted on the driver to a bounded sample of labelled rows (``max_rows``, those of smallest id hash, and of
+The model is fitted on the driver to a bounded sample of labelled rows (``max_rows``, those of smallest id hash, one text of each, and of
 them ``max_words`` distinct words by document frequency); executors make the sample's features, and every text is scored whole
 where it lies. Rows are labelled for training only where crc32(doc_id) mod 5 is not 0; labels, lang, source and doc_id are never inputs of a score.
 
 Edge cases: a null, empty or wordless text has one empty sentence and so the model's base rate; a label without a document, of a
-null id or null toxic is not used; a doc_id with several labels takes the largest; repeated rows score alike; without labels of both kinds
+null id or null toxic is not used; a doc_id with several labels takes the largest, with several rows the text of the smallest hash; repeated rows score alike; without labels of both kinds
 the model knows no words and every score is near 0 (near 1 if all labels are 1); an empty table gives no rows.
 """
 
@@ -109,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_words: int
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     marks = labels.where("doc_id is not null and toxic is not null").where(fold != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("y", "text"), F.xxhash64("text")).alias("x"))
+    sample = sample.sortWithinPartitions("doc_id").select("x.y", "x.text")
     rows = _bags(sample).toArrow()
     y = rows.column("y").to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
