@@ -15,3 +15,14 @@ def test_one_text_of_each_labelled_document(spark, monkeypatch):
     models = [X.fit(df, marks), X.fit(df.repartition(3), marks)]
     assert len(seen[0]) == len(ids) and seen[0] == seen[1]
     assert models[0].weights == models[1].weights
+
+
+def test_bound_of_the_sample(spark):
+    docs = spark.range(12_000).selectExpr("id as doc_id", "concat('fine ', id) as text")
+    seen, bags = [], X._bags
+    try:
+        X._bags = lambda sample: seen.append(sample.count()) or bags(sample)
+        X.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    finally:
+        X._bags = bags
+    assert seen == [8000]
