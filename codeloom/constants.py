@@ -17,7 +17,7 @@ OPERATORS_YAML = "aten/src/ATen/native/native_functions.yaml"
 DERIVATIVES_YAML = "tools/autograd/derivatives.yaml"
 FINGERPRINT_FILES = ["version.txt", "torch/version.py", ".git/HEAD"]
 PACKAGE_ROOTS = ["torch", "torchvision", "torchaudio"]
-PATH_PREFIXES = ["/myworkspace/pytorch/", "pytorch/"]
+PATH_PREFIXES = ["pytorch/"]
 
 # Substrings.
 EXCLUDED = ["/test/", "/tests/", "test_", "_test.", "/third_party/", "/generated/", "/build/", "__pycache__", "/benchmarks/", "/examples/"]

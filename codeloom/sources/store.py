@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,14 +12,21 @@ from pyspark.sql import functions as F
 from codeloom.schemas import SCHEMAS
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet below spark.checkpoint.dir and read it back. A session without that setting gets a folder of its own."""
-    spark = df.sparkSession
+def shared_base(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a session on one machine may do without: it gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='codeloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back."""
+    spark = df.sparkSession
+    path = f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
