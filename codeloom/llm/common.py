@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -20,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below the folder that the cluster names in spark.checkpoint.dir; the caller creates it.
 
-    Only a session without that setting (a local test) gets a folder of its own.
+    Only a session on one machine may do without that setting: it gets a folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='codeloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -55,3 +58,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast df only after counting that it has at most max_rows rows; else leave the join to Spark."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def free_names(taken: list[str], wanted: list[str]) -> list[str]:
+    """Names of columns to add: as wanted, with underscores before one that is taken (in any case)."""
+    low, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in low:
+            name = "_" + name
+        low.add(name.lower())
+        out.append(name)
+    return out
