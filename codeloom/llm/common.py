@@ -1,13 +1,12 @@
-"""What several operators share: the shared folder, materialised tables, block keys and size checks."""
+"""What several operators share: the shared folder, materialised tables, size checks and free column names."""
 
 from __future__ import annotations
 
-import math
 import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Sorts after every real id; stands for a null one.
@@ -43,17 +42,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def block_count(docs: DataFrame, block_bytes: int, size_col: str = "text") -> int:
-    """Blocks of about block_bytes of text each, at least four for each shuffle partition."""
-    total = docs.agg(F.sum(F.octet_length(size_col))).first()[0] or 0
-    return max(4 * partitions(docs.sparkSession), math.ceil(total / block_bytes))
-
-
-def block_of(doc_id: Column, text: Column, n_blocks: int) -> Column:
-    """Rows of one doc_id share a block; rows without an id are dealt out by their text."""
-    return F.pmod(F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(doc_id)), F.lit(n_blocks))
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast df only after counting that it has at most max_rows rows; else leave the join to Spark."""
     n = df.limit(max_rows + 1).count()

@@ -2,14 +2,16 @@
 
 Texts and benchmark items are lower-cased and their white space is collapsed. An item of m characters may differ in
 e = floor(rate x m) edits; by the q-gram lemma a passage within e edits shares at least m - q + 1 - q x e of its q-grams, all
-on diagonals (place in the document less place in the item) within e of each other. Shared q-grams are counted in diagonal
+on diagonals (place in the document less place in the item) within e of each other. Where that bound would fall below one, the
+item takes shorter q-grams: q = floor(m / (e + 1)) is the longest for which the lemma still speaks. Shared q-grams are counted in diagonal
 bands of width 2(e + 1) that overlap by half, so any such passage lies whole in a band; bands that reach the bound are verified
 by banded alignment, which gives the exact number of edits and the place.
 
 A document is scanned where it lies: nothing is shuffled. The benchmark is the small side: its size is measured first, and beyond
-``slice_chars`` it is scanned in slices, so what is sent to executors is bounded.
+``slice_chars`` it is scanned in slices, one after the other: each pass is written to the shared folder before the next slice is sent and
+the last one's index is destroyed. In a document, shared q-grams are counted in pieces of bounded size: bands behind the piece are done.
 
-Edge cases: null or empty texts and items match nothing; an item shorter than q must occur exactly; equal items of one id
+Edge cases: null or empty texts and items match nothing; an item too short for an edit must occur exactly; equal items of one id
 count once; repeated rows are reported each; rows of a null doc_id are reported with it; an empty table gives no rows.
 """
 
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import materialize
+
 HITS = "doc_id long, item_id long, start long, end long, edits int"
 
 
@@ -39,7 +43,7 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
 def qgrams(x: np.ndarray, q: int) -> np.ndarray:
@@ -47,7 +51,7 @@ def qgrams(x: np.ndarray, q: int) -> np.ndarray:
     n = len(x) - q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out, done, power, width = None, 0, x, 1
+    out, done, power, width = None, 0, x.astype(np.uint64), 1
     while True:
         if q & width:
             part = power[done : done + n]
@@ -59,19 +63,20 @@ def qgrams(x: np.ndarray, q: int) -> np.ndarray:
         width *= 2
 
 
-class Index:
-    """q-grams of the benchmark items: sorted hashes with postings, and a table of bits that turns most places away."""
+#: Shared q-grams that are counted at once.
+PIECE = 1 << 20
+_BASE = 1 << 20
 
-    def __init__(self, items: list[tuple[int | None, str]], q: int, rate: float):
+
+class _Grams:
+    """q-grams of the items of one q: sorted hashes with postings, and a table of bits that turns most places away."""
+
+    def __init__(self, items: list[tuple[int, str]], q: int):
         self.q = q
-        self.items = [(i, t) for i, t in items if t]
-        self.short = [n for n, (_, t) in enumerate(self.items) if len(t) < q]
-        self.edits = np.array([int(rate * len(t)) for _, t in self.items], np.int64)
-        self.bound = np.array([len(t) - q + 1 - q * int(e) for (_, t), e in zip(self.items, self.edits, strict=True)], np.int64)
-        hashes = [qgrams(codes(t), q) for _, t in self.items]
-        h = np.concatenate([np.empty(0, np.uint64), *hashes])
-        item = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
-        place = np.concatenate([np.empty(0, np.int64), *[np.arange(len(x)) for x in hashes]])
+        hashes = [qgrams(codes(t), q) for _, t in items]
+        h = np.concatenate(hashes)
+        item = np.repeat(np.array([n for n, _ in items]), [len(x) for x in hashes])
+        place = np.concatenate([np.arange(len(x)) for x in hashes])
         order = np.argsort(h, kind="stable")
         self.item, self.place = item[order], place[order]
         self.keys, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
@@ -80,36 +85,65 @@ class Index:
         self.table = np.zeros(1 << bits, bool)
         self.table[(self.keys >> self.shift).astype(np.int64)] = True
 
-    def hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """-> item, place in the item, place in x of every shared q-gram."""
-        out = [(np.empty(0, np.int64),) * 3]
+    def hits(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """-> item, place in the item, place in x of shared q-grams, in the order of x, about PIECE at a time."""
         for lo in range(0, len(x), 1 << 18):
             h = qgrams(x[lo : lo + (1 << 18) + self.q - 1], self.q)
             at = np.flatnonzero(self.table[(h >> self.shift).astype(np.int64)])
+            if not len(at):
+                continue
             k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-            real = self.keys[k] == h[at] if len(at) else np.empty(0, bool)
+            real = self.keys[k] == h[at]
             at, k = at[real], k[real]
-            n = self.count[k]
-            posting = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append((self.item[posting], self.place[posting], np.repeat(at + lo, n)))
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+            if not len(at):
+                continue
+            total = np.cumsum(self.count[k]) // PIECE
+            for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(total)) + 1):
+                n, start = self.count[k[some]], self.first[k[some]]
+                posting = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                yield self.item[posting], self.place[posting], np.repeat(at[some] + lo, n)
+
+
+class Index:
+    """The benchmark items and their q-grams."""
+
+    def __init__(self, items: list[tuple[int | None, str]], q: int, rate: float):
+        self.items = [(i, t) for i, t in items if t]
+        self.size = np.array([len(t) for _, t in self.items], np.int64)
+        self.edits = np.array([int(rate * len(t)) for _, t in self.items], np.int64)
+        self.q = np.minimum(q, self.size // (self.edits + 1))
+        self.bound = self.size - self.q + 1 - self.q * self.edits
+        self.grams = [_Grams([(int(n), self.items[n][1]) for n in np.flatnonzero(self.q == k)], int(k)) for k in np.unique(self.q)]
 
     def candidates(self, x: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """bounds: where each document starts in x. -> document, item, first diagonal (in x) of each band that reaches the bound."""
-        item, ipos, dpos = self.hits(x)
-        if not len(item):
+        for grams in self.grams:
+            held = np.empty((4, 0), np.int64)
+            for item, ipos, dpos in grams.hits(x):
+                doc = np.searchsorted(bounds, dpos, "right") - 1
+                band = (dpos - ipos + _BASE) // (self.edits[item] + 1)
+                rows = np.concatenate((held, np.stack((doc, item, band, ipos)), np.stack((doc, item, band - 1, ipos))), axis=1)
+                rows = rows[:, np.lexsort(rows[::-1])]
+                new = np.ones(rows.shape[1], bool)
+                new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+                rows = rows[:, new]  # each q-gram of the item counts once in a band
+                done = (rows[2] + 2) * (self.edits[rows[1]] + 1) - _BASE + self.size[rows[1]] < dpos[-1]
+                yield from self._counted(rows[:, done])
+                held = rows[:, ~done]
+            yield from self._counted(held)
+
+    def _counted(self, rows: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        if not rows.shape[1]:
             return
-        doc = np.searchsorted(bounds, dpos, "right") - 1
-        band = (dpos - ipos + (1 << 20)) // (self.edits[item] + 1)
-        rows = np.concatenate((np.stack((doc, item, band, ipos)), np.stack((doc, item, band - 1, ipos))), axis=1)
-        rows = rows[:, np.lexsort(rows[::-1])]
-        new = np.ones(rows.shape[1], bool)
-        new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
-        rows = rows[:3, new]  # each q-gram of the item counts once in a band
+        rows = rows[:3]
         start = np.flatnonzero(np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0))))
         n = np.diff(np.append(start, rows.shape[1]))
-        for d, i, b in rows[:, start[n >= np.maximum(self.bound[rows[1, start]], 1)]].T.tolist():
-            yield d, i, b * (int(self.edits[i]) + 1) - (1 << 20)
+        for d, i, b in rows[:, start[n >= self.bound[rows[1, start]]]].T.tolist():
+            yield d, i, b * (int(self.edits[i]) + 1) - _BASE
+
+
+#: Diagonals that are aligned at once.
+WIDE = 1 << 14
 
 
 def align(item: np.ndarray, text: np.ndarray, lo: int, hi: int) -> tuple[int, int, int]:
@@ -132,16 +166,16 @@ def align(item: np.ndarray, text: np.ndarray, lo: int, hi: int) -> tuple[int, in
         source = np.maximum.accumulate(np.where(x - index == best, index, 0))
         cost = np.where((j < 0) | (j > len(text)), none, best + index)
         start = s[source]
-    at = int(np.argmin(cost))
+    at = int(np.lexsort((start, cost))[0])
     return int(cost[at]), int(start[at]), int(k[at]) + len(item)
 
 
-def scan(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
+def scan(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
     """-> number of the text, number of the item, start, end (in the normal form), edits: the best place of each pair."""
     batch: list[tuple[int, str]] = []
     size = 0
     for n, text in enumerate(texts):
-        t = normal(text)
+        t = normal(text.as_py())
         batch.append((n, t))
         size += len(t) + 1
         if size > 1 << 21 or n == len(texts) - 1:
@@ -165,29 +199,37 @@ def _scan(index: Index, batch: list[tuple[int, str]]) -> Iterator[tuple[int, int
             continue
         a = x[bounds[d] : bounds[d] + len(texts[d])]
         y = codes(item)
-        for first in places:
-            lo, hi = max(0, first - e), min(len(a), first + 2 * (e + 1) + e + len(item))
-            edits, s, t = align(y, a[lo:hi], first - e - lo, first + 2 * (e + 1) + e - lo)
+        places.sort()
+        runs = [places[:1]]
+        for first in places[1:]:  # bands that touch are aligned at once, up to WIDE diagonals
+            if first - runs[-1][-1] <= 2 * (e + 1) and first - runs[-1][0] < WIDE:
+                runs[-1].append(first)
+            else:
+                runs.append([first])
+        for run in runs:
+            first, last = run[0] - e, run[-1] + 2 * (e + 1) + e
+            lo, hi = max(0, first), min(len(a), last + len(item))
+            edits, s, t = align(y, a[lo:hi], first - lo, last - lo)
             if edits <= e and (edits, s + lo) < found.get((d, i), (e + 1, 0, 0))[:2]:
                 found[d, i] = (edits, s + lo, t + lo)
-    for i in index.short:
-        for d, t in enumerate(texts):
-            if (at := t.find(index.items[i][1])) >= 0:
-                found[d, i] = (0, at, at + len(index.items[i][1]))
     for (d, i), (edits, s, t) in found.items():
         yield batch[d][0], i, s, t, edits
 
 
-def indexes(benchmark: DataFrame, q: int, rate: float, slice_chars: int) -> Iterator[Index]:
+def indexes(benchmark: DataFrame, q: int, rate: float, slice_chars: int) -> list[DataFrame]:
     """The benchmark (item_id, text) in slices of about slice_chars characters; each text of an id once."""
     if rate * q >= 1:
         raise ValueError("rate x q must be below 1, or the lemma says nothing")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("length(text) > 0").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, math.ceil(total / slice_chars))
-    for s in range(slices):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == s).collect()
-        yield Index(sorted({(r.item_id, normal(r.text)) for r in rows}, key=str), q, rate)
+    return [items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == s) for s in range(slices)]
+
+
+def _index(items: DataFrame, q: int, rate: float):
+    """The index of one slice, as a broadcast variable."""
+    rows = items.collect()
+    return items.sparkSession.sparkContext.broadcast(Index(sorted({(r.item_id, normal(r.text)) for r in rows}, key=str), q, rate))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, slice_chars: int = 1 << 22) -> DataFrame:
@@ -195,32 +237,39 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float =
 
     start and end are characters of the document's normal form.
     """
-    out = None
-    for index in indexes(benchmark, q, rate, slice_chars):
-        spread = docs.sparkSession.sparkContext.broadcast(index)
+    slices, out = indexes(benchmark, q, rate, slice_chars), None
+    for items in slices:
+        spread = _index(items, q, rate)
 
         def run(batches: Iterator[pa.RecordBatch], spread=spread) -> Iterator[pa.RecordBatch]:
             index = spread.value
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                rows = [(ids[n], index.items[i][0], s, e, edits) for n, i, s, e, edits in scan(index, batch.column(1).to_pylist())]
+                rows = [(ids[n], index.items[i][0], s, e, edits) for n, i, s, e, edits in scan(index, batch.column(1))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "item_id", "start", "end", "edits"])
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, HITS)
+        if len(slices) > 1:
+            part = materialize(part, "leaks")
+            spread.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, slice_chars: int = 1 << 22) -> DataFrame:
     """docs without the rows that hold an item, with all their columns."""
-    for index in indexes(benchmark, q, rate, slice_chars):
-        spread, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")
+    slices, at = indexes(benchmark, q, rate, slice_chars), [c.lower() for c in docs.columns].index("text")
+    for items in slices:
+        spread = _index(items, q, rate)
 
-        def run(batches: Iterator[pa.RecordBatch], spread=spread, at=at) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], spread=spread) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                clean[[n for n, *_ in scan(spread.value, batch.column(at).to_pylist())]] = False
+                clean[[n for n, *_ in scan(spread.value, batch.column(at))]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if len(slices) > 1:
+            docs = materialize(docs, "clean")
+            spread.destroy()
     return docs

@@ -11,27 +11,33 @@ windows have equal anchors and meet in the same group.
 1. Blocks of documents list their anchors' hashes, each once with its count (pre-aggregated), and buckets of the hash space
    add them up. A window whose anchor occurs once in the corpus has no copy.
 2. Blocks send the runs of windows ("segments") of repeated anchors, equal segments of a block once, to buckets.
-3. A bucket builds the suffix array of its distinct segments, truncated at ``min_len`` bytes, with the LCP array, and finds
-   previous and next smaller positions in suffix order; LPF >= min_len marks a window for removal.
+3. A bucket builds the suffix array of its distinct segments and the LCP array, both truncated at ``min_len`` bytes, finds the
+   previous and next smaller positions in suffix order (PSV, NSV) and from them the LPF array; LPF >= min_len marks a window for removal.
 4. An anchor in more than ``hot`` blocks is split over several buckets by block. What a split bucket leaves
    is compared once more by 128-bit window digest, with a combinable minimum, so no task ever holds a hot anchor's rows.
 5. Blocks cut the marked bytes.
 
-Edge cases: a null text is empty; an empty or short one has nothing to remove; null doc_ids come after all others, in the
-order of their texts' hashes; repeated rows are documents of their own, the later of which are removed; an empty table gives no rows.
+Blocks and buckets both grow with the input, so beyond ``fan`` of them rows reach their bucket or block in two steps (routing.py).
+
+Edge cases: a null text is empty; an empty or short one has nothing to remove; null doc_ids come after all others; rows that share a
+doc_id are documents of their own, in the order of a hash of id and text; equal rows are read once, all but the first are
+removed whole if they have ``min_len`` bytes, however many they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import NULL_ID, block_count, block_of, materialize, partitions
+from codeloom.llm.common import NULL_ID, materialize, partitions
+from codeloom.llm.routing import FAN, grouped, routed
 
 KGRAM = 24
 CHUNK = 1 << 18
@@ -104,13 +110,13 @@ def segments(buf: np.ndarray, offsets: np.ndarray, min_len: int) -> tuple[np.nda
     return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(lasts)
 
 
-def truncated_suffix_array(buf: np.ndarray, starts: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes from starts in the order of their first min_len bytes, and whether each equals the one before (LCP >= min_len).
+def suffix_array(buf: np.ndarray, starts: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes from starts in the order of their first min_len bytes, and the LCP of each with the one before, both truncated at min_len.
 
     Prefix doubling: ranks of 8 bytes give ranks of 16, of 32 and of 64; two ranks that overlap give min_len.
     """
-    w = _words(buf).byteswap()
-    width, rank = 8, np.unique(w, return_inverse=True)[1].astype(np.uint64)
+    w = _words(buf)
+    width, rank = 8, np.unique(w.byteswap(), return_inverse=True)[1].astype(np.uint64)
     while width * 2 <= min_len:
         nxt = np.zeros(len(rank), np.uint64)
         nxt[: len(rank) - width] = rank[width:]
@@ -119,26 +125,53 @@ def truncated_suffix_array(buf: np.ndarray, starts: np.ndarray, min_len: int) ->
     key = (rank[starts] << np.uint64(32)) | rank[starts + (min_len - width)]
     order = np.argsort(key, kind="stable")
     key = key[order]
-    equal = np.zeros(len(order), bool)
-    equal[1:] = key[1:] == key[:-1]
-    return order, equal
-
-
-def previous_factor(order: np.ndarray, equal: np.ndarray) -> np.ndarray:
-    """For each suffix (numbered in text order) whether its longest previous factor reaches the truncated length.
-
-    LPF[i] is the larger LCP with the nearest entries before and after i in suffix order that have a smaller position (PSV, NSV).
-    LCPs are capped at the truncated length, so a run of equal entries has the cap inside and less across its ends:
-    a smaller position before or after i in its run is PSV or NSV with the capped LCP.
+    lcp = np.full(len(order), min_len, np.int32)
+    lcp[:1] = 0
+    left = np.flatnonzero(key[1:] != key[:-1]) + 1
+    for k in range(0, min_len, 8):  # 8 bytes at a time, of those that have not differed yet
+        differ = w[starts[order[left]] + k] ^ w[starts[order[left - 1]] + k]
+        off = np.flatnonzero(differ)
+        low = differ[off] & (~differ[off] + np.uint64(1))  # the first byte that differs holds the lowest bit set
+        lcp[left[off]] = np.minimum(k + np.log2(low.astype(np.float64)).astype(np.int32) // 8, min_len)
+        left = left[differ == 0]
+        if not len(left):
+            break
+    return order, lcp
+
+
+def _smaller_before(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each rank the nearest rank before whose suffix starts earlier (PSV; -1: none), and the LCP with it.
+
+    All ranks jump at once: from a rank that starts later on to the one that it points to. What lies between was passed since it starts later,
+    and the least LCP on the way is that of the two ends. Jumps double, so rounds grow with the logarithm.
+    """
+    at = np.append(-1, order)
+    to, common = np.maximum(np.arange(len(at)) - 1, 0), np.append(0, lcp)
+    todo = np.arange(1, len(at))
+    while True:
+        common[todo[to[todo] == 0]] = 0
+        todo = todo[(at[to[todo]] > at[todo]) & (common[todo] > 0)]
+        if not len(todo):
+            break
+        via = to[todo]
+        to[todo], common[todo] = to[via], np.minimum(common[todo], common[via])
+    return np.where(common > 0, to - 1, -1)[1:], common[1:]
+
+
+def longest_previous_factors(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """LPF of each suffix (by its number in text order; order[r] is the number of rank r), and the number of the earlier suffix that has it (-1: none).
+
+    LPF[i] is the larger LCP with the nearest ranks before and after that of i whose suffixes start earlier (PSV and NSV).
     """
     n = len(order)
-    run = np.cumsum(~equal) - 1
-    shift = run.astype(np.int64) * n
-    before = np.minimum.accumulate(order - shift) + shift  # smallest position of the run so far: later runs are shifted below
-    after = (np.minimum.accumulate((order + shift - run.max(initial=0) * n)[::-1])[::-1] + run.max(initial=0) * n - shift) if n else order
-    out = np.zeros(n, bool)
-    out[order] = (before < order) | (after < order)
-    return out
+    before, most = _smaller_before(order, lcp)
+    after, other = _smaller_before(order[::-1], np.append(0, lcp[:0:-1]) if n else lcp)
+    after, other = np.where(after >= 0, n - 1 - after, -1)[::-1], other[::-1]
+    lpf, source = np.zeros(n, np.int32), np.full(n, -1)
+    lpf[order] = np.maximum(most, other)
+    best = np.where(other > most, after, before)
+    source[order] = np.where(best >= 0, order[best], -1)
+    return lpf, source
 
 
 # ---------------------------------------------------------------- groups
@@ -202,10 +235,11 @@ def _repeated(hot: int):
 META = np.dtype([("key", "<i8"), ("rank", "<i4"), ("start", "<i8"), ("windows", "<i4"), ("anchor", "<u4"), ("split", "?")])
 
 
-def _ship(min_len: int, n_buckets: int):
+def _ship(min_len: int, n_buckets: int, table):
     empty = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("copies", pa.bool_()), ("meta", pa.binary()), ("body", pa.binary())])
 
     def run(key, docs, answers):
+        answers = table(answers)
         if not docs.num_rows or not answers.num_rows:
             return empty.empty_table()
         block = key[0].as_py()
@@ -316,7 +350,7 @@ def _mark(min_len: int):
                 within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 starts = np.repeat(base, n) + within
                 buf = np.frombuffer(text, np.uint8)
-                repeated = previous_factor(*truncated_suffix_array(buf, starts, min_len))
+                repeated = longest_previous_factors(*suffix_array(buf, starts, min_len))[0] >= min_len
                 owner = np.repeat(np.arange(len(kept)), n)
                 place = kept["start"][owner] + within
                 hit = np.flatnonzero(repeated)
@@ -335,8 +369,9 @@ def _mark(min_len: int):
     return run
 
 
-def _cut(min_len: int, with_text: bool):
+def _cut(min_len: int, with_text: bool, table):
     def run(key, docs, marks):
+        marks = table(marks)
         order, _, buf, offsets = _columns(docs)
         delta = np.zeros(len(buf) + 1, np.int32)
         for ranks, starts, ends in zip(*(marks.column(c).to_pylist() for c in ("ranks", "starts", "ends")), strict=True):
@@ -367,23 +402,48 @@ def _cut(min_len: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, min_len: int = 100, block_bytes: int = 4 << 20, hot: int = 4096, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_len: int = 100, block_bytes: int = 4 << 20, hot: int = 4096, with_text: bool = False, fan: int = FAN) -> DataFrame:
     """docs (doc_id, text; other columns are ignored) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept binary].
 
-    min_len: 32 at least. block_bytes: text in a block. hot: an anchor in more blocks than this is split.
+    min_len: 32 at least. block_bytes: text in a block. hot: an anchor in more blocks than this is split. fan: blocks or buckets that one exchange serves.
     """
     if min_len < KGRAM + 8:
         raise ValueError(f"min_len must be at least {KGRAM + 8}")
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n_blocks = block_count(docs, block_bytes)
+    given = F.col("doc_id").cast("long")
+    docs = docs.select(given.alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _remove(docs, F.xxhash64("doc_id"), min_len, block_bytes, hot, with_text, fan)
+    key = ["no_id", "id", "h", "g"]
+    docs = docs.withColumns({"no_id": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0).cast("long")), "h": F.xxhash64("text"), "g": F.xxhash64(F.lit(1), "text")})
+    counts = docs.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
+    once = materialize(docs.dropDuplicates(key).join(counts, key).select("doc_id", "text", "copies"), "once")
+    first = _remove(once.select("doc_id", "text"), F.xxhash64("doc_id", "text"), min_len, block_bytes, hot, with_text, fan)
+    n, step = F.octet_length("text").cast("long"), 1 << 16
+    gone = n >= min_len
+    body = F.when(gone, F.lit(b"")).otherwise(F.col("text").cast("binary"))
+    later = once.where("copies > 1").select(
+        "doc_id", n.alias("n_bytes"), F.when(gone, n).otherwise(F.lit(0)).cast("long").alias("n_removed"), gone.cast("long").alias("n_spans"), F.sha2(body, 256).alias("kept_sha256"),
+        *([body.alias("kept")] if with_text else []), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies") - 1, F.lit(step).cast("long"))).alias("at"), "copies",
+    )
+    later = later.repartition(partitions(spark), "kept_sha256", "doc_id", "at")  # counts are dealt out before they become rows
+    later = later.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(step).cast("long"), F.col("copies") - F.col("at")))))
+    return first.unionByName(later.select(*first.columns))
+
+
+def _remove(docs: DataFrame, spread: Column, min_len: int, block_bytes: int, hot: int, with_text: bool, fan: int) -> DataFrame:
+    """remove_repeats for rows that are all different."""
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = max(4 * partitions(spark), math.ceil(total / block_bytes))
     n_buckets = max(partitions(spark), n_blocks // 2)
-    rows = docs.select(block_of(F.col("doc_id"), F.col("text"), n_blocks).alias("block"), "doc_id", F.col("text").cast("binary").alias("body"))
-    grouped = rows.groupBy("block")
-    anchors = grouped.applyInArrow(_anchors(min_len, n_buckets), "bucket long, block long, hashes binary, counts binary")
-    answers = anchors.groupBy("bucket").applyInArrow(_repeated(hot), "block long, hashes binary, splits binary")
-    sent = grouped.cogroup(answers.groupBy("block")).applyInArrow(_ship(min_len, n_buckets), "bucket long, block long, copies boolean, meta binary, body binary")
-    marks = sent.groupBy("bucket").applyInArrow(_mark(min_len), "left boolean, block long, keys array<long>, ranks array<int>, starts array<long>, ends array<long>, digests array<binary>")
+    rows = docs.select(F.pmod(spread, F.lit(n_blocks)).alias("block"), "doc_id", F.col("text").cast("binary").alias("body"))
+    blocks = rows.groupBy("block")
+    anchors = blocks.applyInArrow(_anchors(min_len, n_buckets), "bucket long, block long, hashes binary, counts binary")
+    answers = grouped(anchors, "bucket", n_buckets, total // 2, _repeated(hot), "block long, hashes binary, splits binary", fan)
+    answers, table = routed(answers, "block", n_blocks, total // 4, fan)
+    sent = blocks.cogroup(answers.groupBy("block")).applyInArrow(_ship(min_len, n_buckets, table), "bucket long, block long, copies boolean, meta binary, body binary")
+    marks = grouped(sent, "bucket", n_buckets, 2 * total, _mark(min_len), "left boolean, block long, keys array<long>, ranks array<int>, starts array<long>, ends array<long>, digests array<binary>", fan)
     marks = materialize(marks, "lpf-marks")
     found = marks.where("not left").select("block", "ranks", "starts", "ends")
     if not marks.where("left").isEmpty():
@@ -392,5 +452,6 @@ def remove_repeats(docs: DataFrame, min_len: int = 100, block_bytes: int = 4 <<
         first = left.groupBy("digest").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         later = left.join(first, "digest").where("at > first")
         found = found.unionByName(later.select("at.block", F.array("at.rank").alias("ranks"), F.array("at.start").alias("starts"), F.array("at.start").alias("ends")))
+    found, table = routed(found, "block", n_blocks, total // 4, fan)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return grouped.cogroup(found.groupBy("block")).applyInArrow(_cut(min_len, with_text), schema)
+    return blocks.cogroup(found.groupBy("block")).applyInArrow(_cut(min_len, with_text, table), schema)

@@ -6,7 +6,7 @@ gives the same copies. Each document is exploded by its count, and copies are de
 replica) and sorted there: a global shuffle in one exchange, with no sampling pass, and even for any mix of sources.
 
 Edge cases: a null source is a source of its own; a null doc_id draws as the word null; repeated rows draw alike and
-stay as many; sources without a weight take ``default_weight``; an empty table gives no rows.
+stay as many; columns keep their names and values whatever they are called; sources without a weight take ``default_weight``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import broadcast_if_small, partitions
+from codeloom.llm.common import broadcast_if_small, free_names, partitions
 
 #: Rates beyond this are drawn as a sum of parts, since exp(-rate) must not underflow.
 PART = 500.0
@@ -46,24 +46,27 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, epoch: float
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "mix-1", epoch: float = 1.0, default_weight: float = 1.0, max_broadcast: int = 10_000) -> DataFrame:
-    """docs with doc_id, source and any other columns -> the same columns, n_copies, replica (from 0) and shuffle_key.
+    """docs with doc_id, source and any other columns -> the same columns, then n_copies, replica (from 0) and shuffle_key.
 
     weights: target share of each source, in any unit. epoch: expected output rows as a multiple of the input's.
-    The table of rates is broadcast only if it is counted to have at most max_broadcast sources.
+    The table of rates is broadcast only if it is counted to have at most max_broadcast sources. An added column whose name
+    docs already has gets underscores before it.
     """
-    rates = source_rates(docs, weights, epoch, default_weight).select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
-    rates = broadcast_if_small(rates, max_broadcast)
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    draw = lambda j: F.size(F.filter("__cdf", lambda c: c <= F.col("__u")[j]))
-    rows = docs.join(rates, docs["source"].eqNullSafe(F.col("__source")))
-    rows = rows.withColumn("__u", F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda j: _uniform(F.lit(seed), F.lit("copies"), ident, j.cast("string"))))
-    rows = rows.withColumn("n_copies", F.aggregate(F.sequence(F.lit(0), F.col("__parts") - 1), F.lit(0), lambda acc, j: acc + draw(j)))
+    own = [f"c{i}" for i in range(len(docs.columns))]  # inside, columns go by their place, so no name can clash
+    low = [c.lower() for c in docs.columns]
+    doc_id, source = (F.col(own[low.index(c)]) for c in ("doc_id", "source"))
+    rates = broadcast_if_small(source_rates(docs, weights, epoch, default_weight).select(F.col("source").alias("key"), "parts", "cdf"), max_broadcast)
+    ident = F.coalesce(doc_id.cast("string"), F.lit("null"))
+    draw = lambda j: F.size(F.filter("cdf", lambda c: c <= F.col("u")[j]))
+    rows = docs.toDF(*own).join(rates, source.eqNullSafe(F.col("key")))
+    rows = rows.withColumn("u", F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: _uniform(F.lit(seed), F.lit("copies"), ident, j.cast("string"))))
+    rows = rows.withColumn("n_copies", F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), lambda acc, j: acc + draw(j)))
     rows = rows.where("n_copies > 0").withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), ident, F.col("replica").cast("string"))))
     n = partitions(docs.sparkSession)
     slot = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * n / F.lit(1 << 32)).cast("int")
-    out = rows.select(*[docs[c] for c in docs.columns if c not in ("n_copies", "replica", "shuffle_key")], "n_copies", "replica", "shuffle_key")
-    return out.repartitionById(n, slot).sortWithinPartitions("shuffle_key", "doc_id")
+    out = rows.select(*own, "n_copies", "replica", "shuffle_key").repartitionById(n, slot).sortWithinPartitions("shuffle_key", doc_id)
+    return out.toDF(*docs.columns, *free_names(docs.columns, ["n_copies", "replica", "shuffle_key"]))
 
 
 ORACLE = """

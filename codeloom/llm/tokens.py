@@ -1,22 +1,25 @@
 """Operator 5: token-ID shards in training order.
 
 Texts become token ids of a byte-level BPE vocabulary, each document ended by ``eos``, cut into sequences of ``length`` ids. A keyed
-Feistel permutation with cycle-walking sends every sequence's index (row's place x sequences, a domain known before any text is
-read into tokens) to a slot of the same domain; range partitions of the slots are sorted and written as shards of fixed
+Feistel permutation with cycle-walking sends every sequence's index to a slot of the same domain, which is known before any text is
+read into tokens; range partitions of the slots are sorted and written as shards of fixed
 stride, so the n-th record of a shard is one seek away and a reader resumes from any record. A record's global place in training
 order is the records of the shards before plus its own number: ``training_order`` gives it from the manifest.
 
-A row's place is its doc_id if no two rows share one. Else rows are numbered in the order of (doc_id, text hashes), equal rows one after the
-other, so every copy of a document has slots of its own; equal rows are read into tokens once.
+A sequence's index is its row's place x the most sequences that any row can have, plus its number. A row's place is its doc_id, if no two rows
+share one and the ids lie close enough together for 62 bits. Else rows are put in the order of (doc_id, text hashes), equal rows one after the
+other, and each has as many indexes as its bytes allow sequences: so ids may lie as far apart as they like, and every copy of a document
+has slots of its own; equal rows are read into tokens once.
 
-Tokens are made once and shuffled once, in compressed blobs: one for each input batch and shard. The number of shards follows
+Tokens are made once and shuffled once (twice beyond 2,048 shards, see routing.py), in compressed blobs. The number of shards follows
 the input's bytes, so a shard fits a task. A task writes under a fresh name and reports it, so a repeated attempt is harmless; the
 order is the same on every run.
 
-Record: doc_id int64, sequence int32, tokens int32 (little endian), then ``length`` ids as uint16, padded with eos.
+Record: doc_id int64, sequence int32, tokens int32 (little endian), then ``length`` ids as uint16, padded with eos. A row without a doc_id
+has zero there and the complement of its sequence number, which is negative.
 
-Edge cases: a null or empty text is one record of eos alone; a null doc_id takes the place after the largest and is written as the largest
-int64; rows that share a doc_id are scattered like any others; an empty table writes nothing.
+Edge cases: a null or empty text is one record of eos alone; a null doc_id takes the place after the largest; any doc_id of 64 bits is
+allowed; rows that share a doc_id are scattered like any others; an empty table writes nothing.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import NULL_ID, materialize, partitions, shared_dir
+from codeloom.llm.common import materialize, partitions, shared_dir
+from codeloom.llm.routing import FAN, grouped
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's pre-tokenizer parts a text.
@@ -92,81 +96,86 @@ def feistel(index: np.ndarray, domain: int, key: int, rounds: int = 6) -> np.nda
     return out
 
 
-def _numbered(docs: DataFrame, longest: int) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, text, place, copies: equal rows once, with the first of their places. Places are 0 to rows - 1.
+def _numbered(docs: DataFrame, longest: int) -> tuple[DataFrame, int]:
+    """docs (null_id, doc_id, text, most) -> the same with base and copies, equal rows once: base is the first index of the first copy; and the number of indexes.
 
     Only counts are sorted. Rows of many copies are parted, so that no task writes all copies of one document.
     """
-    n, key = partitions(docs.sparkSession), ["doc_id", "h", "g"]
+    n, key = partitions(docs.sparkSession), ["null_id", "doc_id", "h", "g"]
     docs = docs.withColumns({"h": F.xxhash64("text"), "g": F.xxhash64(F.lit(1), "text")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
         for batch in batches:
-            ends = before + np.cumsum(batch.column(3).to_numpy())
+            own = batch.column(4).to_numpy() * batch.column(5).to_numpy()
+            ends = before + np.cumsum(own)
             if len(ends):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - batch.column(3).to_numpy())], names=[*key, "copies", "inside"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(ends - own)], names=[*key, "copies", "most", "own", "inside"])
                 before = int(ends[-1])
 
-    counts = docs.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).repartitionByRange(n, *key).sortWithinPartitions(*key)
-    counts = materialize(counts.mapInArrow(run, "doc_id long, h long, g long, copies long, inside long").withColumn("part", F.spark_partition_id()), "counts")
-    sums = counts.groupBy("part").agg(F.sum("copies").alias("sum"))  # a row for each of n partitions
+    counts = docs.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.max("most").alias("most")).repartitionByRange(n, *key).sortWithinPartitions(*key)
+    counts = counts.mapInArrow(run, "null_id boolean, doc_id long, h long, g long, copies long, most long, own long, inside long")
+    counts = materialize(counts.withColumn("part", F.spark_partition_id()), "counts")
+    sums = counts.groupBy("part").agg(F.sum("own").alias("sum"))  # a row for each of n partitions
     before = F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    total, copies = counts.agg(F.sum("own"), F.max("copies")).first()
     counts = counts.join(F.broadcast(sums), "part").select(*key, "copies", (F.col("before") + F.col("inside")).alias("place"))
     rows = docs.dropDuplicates(key).join(counts, key)
     step = F.greatest(F.lit(1), F.least(F.lit(1024), F.floor(F.lit(BATCH) / (F.coalesce(F.octet_length("text"), F.lit(0)) + 1)))).cast("long")
-    rows, copies = rows.withColumn("step", step), counts.agg(F.max("copies")).first()[0]
+    rows = rows.withColumn("step", step)
     parted = rows.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.col("step"))))
-    if copies > 1024 or copies * (longest + 1) > BATCH:
+    if copies and (copies > 1024 or copies * (longest + 1) > BATCH):
         some = parted.where("copies > step").repartition(n, *key, "at")
         parted = rows.where("copies <= step").withColumn("at", F.lit(0).cast("long")).unionByName(some)
-    rows = parted
-    return rows.select("doc_id", "text", (F.col("place") + F.col("at")).alias("place"), F.least("step", F.col("copies") - F.col("at")).alias("copies"))
+    base = F.col("place") + F.col("at") * F.col("most")
+    return parted.select("null_id", "doc_id", "text", "most", base.alias("base"), F.least("step", F.col("copies") - F.col("at")).alias("copies")), total or 0
 
 
 def write_shards(
-    docs: DataFrame, folder: str | None = None, tokenizer: str = TOKENIZER, length: int = LENGTH, eos: int = EOS, key: int = KEY, shard_bytes: int = 64 << 20
+    docs: DataFrame, folder: str | None = None, tokenizer: str = TOKENIZER, length: int = LENGTH, eos: int = EOS, key: int = KEY, shard_bytes: int = 64 << 20, fan: int = FAN
 ) -> DataFrame:
     """docs (doc_id, text) -> manifest: shard (in order), path, records, stride. Files are written when the result is read.
 
     tokenizer: path of a vocabulary of ranks, present on every machine. shard_bytes: bytes of text for each shard.
+    fan: shards beyond which blobs are sent in two steps.
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "tokens")
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
-    real = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
-    size = docs.agg(F.min(real).alias("low"), F.max(real).alias("high"), F.sum(F.octet_length("text")).alias("bytes"), F.max(F.octet_length("text")).alias("longest"), F.count(F.lit(1)).alias("rows")).first()
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        low, span = size.low or 0, (size.high or 0) - (size.low or 0) + 2  # one place for null ids
-        docs = docs.select("doc_id", "text", F.coalesce(real - low, F.lit(span - 1)).alias("place"), F.lit(1).cast("long").alias("copies"))
+    most = F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / length).cast("long") + 1  # byte-level tokens are no more than bytes; one more for eos
+    given = F.col("doc_id").cast("long")
+    docs = docs.select(given.isNull().alias("null_id"), F.coalesce(given, F.lit(0).cast("long")).alias("doc_id"), "text", most.alias("most"))
+    real = F.when(~F.col("null_id"), F.col("doc_id"))
+    size = docs.agg(F.min(real).alias("low"), F.max(real).alias("high"), F.sum(F.octet_length("text")).alias("bytes"), F.max(F.octet_length("text")).alias("longest"), F.max("most").alias("most"), F.count(F.lit(1)).alias("rows")).first()
+    low, span = size.low or 0, (size.high or 0) - (size.low or 0) + 2  # one place for null ids
+    domain = span * (size.most or 1)
+    if domain < 1 << 62 and docs.groupBy("null_id", "doc_id").count().where("count > 1").isEmpty():
+        docs = docs.select("null_id", "doc_id", "text", "most", (F.coalesce(real - low, F.lit(span - 1)) * (size.most or 1)).alias("base"), F.lit(1).cast("long").alias("copies"))
     else:
-        span, docs = size.rows, _numbered(docs, size.longest or 0)
-    most = (size.longest or 0) // length + 1  # byte-level tokens are no more than bytes; one more for eos
-    domain = span * most
-    if domain >= 1 << 62:
-        raise ValueError("doc_ids lie too far apart for 62 bits of slots; number the documents first")
+        docs, domain = _numbered(docs, size.longest or 0)
     record = np.dtype([("head", HEAD), ("ids", "<u2", (length,))])
-    shards = max(partitions(spark), math.ceil(((size.bytes or 0) + size.rows * record.itemsize) / shard_bytes))  # a row is one record at least
+    stored = (size.bytes or 0) + size.rows * record.itemsize  # a row is one record at least
+    shards = max(partitions(spark), math.ceil(stored / shard_bytes))
+    one_step = shards <= fan
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=3).compress if one_step else bytes
         for batch in batches:
-            weight = np.cumsum([len(t or "") * c + 1024 for t, c in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)])
+            weight = np.cumsum([len(t or "") * c + 1024 for t, c in zip(batch.column(2).to_pylist(), batch.column(5).to_pylist(), strict=True)])
             cuts = np.flatnonzero(np.diff(weight // BATCH, prepend=-1)).tolist()
             for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=False):
                 part = batch.slice(lo, hi - lo)
-                ids, place, copies = (part.column(c).to_numpy() for c in (0, 2, 3))
-                tokens = [np.append(encode(t, tokenizer), np.uint16(eos)) for t in part.column(1).to_pylist()]
+                no_id, ids, most, base, copies = (part.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 3, 4, 5))
+                tokens = [np.append(encode(t, tokenizer), np.uint16(eos)) for t in part.column(2).to_pylist()]
                 sizes = np.array([len(t) for t in tokens], np.int64)
                 copy = np.repeat(np.arange(len(sizes)), copies)  # the row of each copy
-                place = place[copy] + np.arange(len(copy)) - np.repeat(np.cumsum(copies) - copies, copies)
+                first = base[copy] + (np.arange(len(copy)) - np.repeat(np.cumsum(copies) - copies, copies)) * most[copy]
                 n = (sizes[copy] + length - 1) // length
                 number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                slot = feistel(np.repeat(place, n).astype(np.uint64) * np.uint64(most) + number.astype(np.uint64), domain, key)
+                slot = feistel((np.repeat(first, n) + number).astype(np.uint64), domain, key)
                 doc = np.repeat(copy, n)
                 head = np.zeros(len(doc), HEAD)
-                head["doc_id"], head["sequence"], head["tokens"] = ids[doc], number, np.minimum(length, sizes[doc] - number * length)
+                head["doc_id"], head["sequence"], head["tokens"] = ids[doc], np.where(no_id[doc], ~number, number), np.minimum(length, sizes[doc] - number * length)
                 flat = np.concatenate(tokens)
                 first = (np.cumsum(sizes) - sizes)[doc] + number * length
                 # slots are below 2**62, shards below 2**31: multiply in halves
@@ -180,8 +189,9 @@ def write_shards(
                 counts = np.diff(np.append(at, len(order)))
                 yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts.astype(np.int32)), pa.array(rows, pa.binary())], names=["shard", "records", "body"])
 
-    def write(batch_key, t):
-        unpack = zstandard.ZstdDecompressor().decompress
+    def write(t):
+        shard = t.column("shard")[0].as_py()
+        unpack = zstandard.ZstdDecompressor().decompress if one_step else bytes
         slots, heads, bodies = [], [], []
         for n, blob in zip(t.column("records").to_pylist(), t.column("body").to_pylist(), strict=True):
             data = unpack(blob)
@@ -193,7 +203,7 @@ def write_shards(
         order = np.argsort(slot)  # no two records share a slot
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        path = f"{root}/{batch_key[0].as_py():08d}-{uuid.uuid4().hex}.bin"
+        path = f"{root}/{shard:08d}-{uuid.uuid4().hex}.bin"
         with store.open_output_stream(path, compression=None) as out:
             for lo in range(0, len(order), 8192):
                 some = order[lo : lo + 8192]
@@ -205,10 +215,10 @@ def write_shards(
                 ids[inside] = body[np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 block["ids"] = ids
                 out.write(block.tobytes())
-        return pa.table({"shard": pa.array([batch_key[0].as_py()], pa.int32()), "path": [path], "records": pa.array([len(order)], pa.int64()), "stride": pa.array([record.itemsize], pa.int32())})
+        return pa.table({"shard": pa.array([shard], pa.int32()), "path": [path], "records": pa.array([len(order)], pa.int64()), "stride": pa.array([record.itemsize], pa.int32())})
 
     blobs = docs.mapInArrow(tokenize, "shard int, records int, body binary")
-    return blobs.groupBy("shard").applyInArrow(write, "shard int, path string, records long, stride int")
+    return grouped(blobs, "shard", shards, stored, write, "shard int, path string, records long, stride int", fan)
 
 
 def _scale(slot: np.ndarray, shards: int, domain: int) -> np.ndarray:
@@ -236,7 +246,7 @@ def read_shards(manifest: DataFrame, folder: str, length: int = LENGTH, start: i
                         block = np.frombuffer(data, np.dtype([("head", HEAD), ("ids", "<u2", (length,))]))
                         n, h = len(block), block["head"]
                         bodies = [x[:k].tobytes() for x, k in zip(block["ids"], h["tokens"].tolist(), strict=True)]
-                        columns = [pa.array(np.arange(place, place + n)), pa.array(np.full(n, shard, np.int32)), pa.array(h["doc_id"].astype(np.int64), mask=h["doc_id"] == NULL_ID), pa.array(h["sequence"].astype(np.int32)), pa.array(h["tokens"].astype(np.int32))]
+                        columns = [pa.array(np.arange(place, place + n)), pa.array(np.full(n, shard, np.int32)), pa.array(h["doc_id"].astype(np.int64), mask=h["sequence"] < 0), pa.array(np.maximum(h["sequence"], ~h["sequence"]).astype(np.int32)), pa.array(h["tokens"].astype(np.int32))]
                         columns.append(pa.array(np.array([xxhash.xxh64_intdigest(b) for b in bodies], np.uint64).view(np.int64)))
                         if with_ids:
                             columns.append(pa.array(bodies, pa.binary()))

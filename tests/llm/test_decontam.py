@@ -70,3 +70,32 @@ def test_qgrams():
     for q in (1, 2, 3, 7, 10, 12):
         h = D.qgrams(x, q)
         assert len(h) == len(x) - q + 1 and (h[0] == h[3]) == (q <= 12) and len(np.unique(h)) > 1
+
+
+def test_short_items(spark):
+    """Items for which ten characters are too long a q-gram: every passage within the budget is found all the same."""
+    rng = random.Random(5)
+    letters = "abcdefgh "
+    items = [(n, D.normal("".join(rng.choice(letters) for _ in range(n + 6)))[:n].strip()) for n in [*range(1, 48)]]
+    docs = []
+    for d in range(400):
+        item = rng.choice([x for x in items if len(x[1]) > 3])[1]
+        docs.append((d, " ".join("".join(rng.choice("klmnop") for _ in range(5)) for _ in range(8)) + " " + mutate(rng, item, rng.randrange(3)) + " end"))
+    docs.append((1000, "zz abcdefXhijklm zz"))
+    items.append((100, "abcdefghijklm"))
+    got = {(r.doc_id, r.item_id, r.edits) for r in D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i, k) for d, t in docs for i, b in items if b and (k := edits(D.normal(b), D.normal(t))) <= int(0.08 * len(D.normal(b)))}
+    assert got == want and (1000, 100, 1) in got and sum(k > 0 for *_, k in want) > 20
+
+
+def test_repetitive_text(spark):
+    """Shared q-grams of a text that repeats itself are counted in pieces; the result is that of the whole."""
+    items = [(1, "ab" * 60), (2, "ab" * 30 + "c" + "ba" * 30), (3, "a" * 90)]
+    docs = [(1, "ab" * 20_000), (2, "x" + "ab" * 30 + "cd" + "ba" * 30), (3, "a" * 84 + "b"), (4, "a" * 30_000)]
+    piece, D.PIECE = D.PIECE, 1 << 12
+    try:
+        got = sorted((docs[n][0], i) for n, i, *_ in D.scan(D.Index(items, 10, 0.08), D.pa.array([t for _, t in docs])))
+    finally:
+        D.PIECE = piece
+    assert got == [(1, 0), (1, 1), (2, 0), (2, 1), (3, 2), (4, 2)]
+    assert all((edits(b, D.normal(t[:400])) <= int(0.08 * len(b))) == ((d, n) in got) for d, t in docs for n, (_, b) in enumerate(items))

@@ -1,8 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
+from codeloom.llm import lpf
 from codeloom.llm.lpf import remove_repeats
 
 
@@ -41,6 +43,24 @@ def test_against_brute_force(spark, hot):
     rng.shuffle(rows)
     assert run(spark, rows, hot=hot) == brute(rows, 100)
     assert run(spark, rows, hot=hot, min_len=40, block_bytes=500) == brute(rows, 40)
+    assert run(spark, rows, hot=hot, block_bytes=500, fan=2) == brute(rows, 100)  # blocks and buckets are reached in two steps
+
+
+def test_lpf_arrays():
+    rng = random.Random(1)
+    for trial in range(60):
+        n, cap = rng.randrange(40, 300), rng.choice([32, 40, 100])
+        t = bytes(rng.choice(b"ab" if trial % 2 else b"a" * 20 + b"b") for _ in range(n + cap))
+        starts = np.array(sorted(rng.sample(range(n), rng.randrange(1, n))))
+        order, lcp = lpf.suffix_array(np.frombuffer(t, np.uint8), starts, cap)
+        suffix = [t[s : s + cap] for s in starts]
+        common = lambda a, b, cap=cap: next((k for k in range(cap) if a[k] != b[k]), cap)
+        assert [suffix[i] for i in order] == sorted(suffix)
+        assert lcp.tolist() == [0] + [common(suffix[a], suffix[b]) for a, b in zip(order, order[1:], strict=False)]
+        got, source = lpf.longest_previous_factors(order, lcp)
+        assert got.tolist() == [max([common(suffix[i], suffix[j]) for j in range(i)], default=0) for i in range(len(suffix))]
+        for i, s in enumerate(source.tolist()):
+            assert (s < 0) == (got[i] == 0) and (s < 0 or (s < i and common(suffix[i], suffix[s]) == got[i]))
 
 
 def test_edges(spark):
@@ -49,3 +69,16 @@ def test_edges(spark):
     got = run(spark, [(None, t), (1, t), (1, t), (None, None)])
     assert sorted(r[2] for r in got) == [0, 0, len(t), len(t)]
     assert [r[2] for r in got if r[0] == 1] in ([0, len(t)], [len(t), 0])
+
+
+def test_equal_rows(spark):
+    long, short = " ".join(f"word {i} of the first of the equal rows," for i in range(6)), "too short"
+    rows = [(4, long)] * 300 + [(None, long)] * 70 + [(4, short)] * 5 + [(None, None)] * 3 + [(9, long + "z" * 200), (9, "y" * 150)]
+    got = run(spark, rows, block_bytes=200)
+    assert len(got) == len(rows)
+    n = len(long)
+    assert sorted(r[2] for r in got if r[0] == 4 and r[1] == n) == [0] + [n] * 299
+    assert all(r[2:4] == (n, 1) and r[4] == hashlib.sha256(b"").hexdigest() for r in got if r[0] is None and r[1] == n)
+    assert all(r[2:] == (0, 0, hashlib.sha256(short.encode()).hexdigest()) for r in got if r[1] == len(short))
+    own = {r[1]: r[2] for r in got if r[0] == 9}
+    assert own[n + 200] == n + 199 and own[150] == 149  # runs overlap themselves

@@ -134,8 +134,14 @@ def test_mixing(spark):
     assert keys == sorted(keys)
     for d in {r.doc_id for r in got if r.doc_id is not None}:
         own = [r for r in got if r.doc_id == d]
-        assert sorted(r.replica for r in own) == list(range(own[0].n_copies))
+        assert sorted(r._replica for r in own) == list(range(own[0].n_copies))
         break
+    assert out.columns == [*docs.columns, "n_copies", "_replica", "shuffle_key"] and {r.replica for r in got} == {"x"}  # columns of the input keep their values
+    odd = docs.toDF("doc_id", "c0", "key", "source", "u", "cdf").withColumn("N_COPIES", F.lit("mine")).withColumn("parts", F.lit(7))
+    again = mixing.mix_sources(odd, {"a": 1.0, "b": 3.0}, epoch=2.0, default_weight=0.0)
+    assert again.columns == [*odd.columns, "_n_copies", "replica", "shuffle_key"]
+    assert sorted(str((r.doc_id, r.replica, r.shuffle_key)) for r in again.collect()) == sorted(str((r.doc_id, r._replica, r.shuffle_key)) for r in got)
+    assert {tuple(r) for r in again.select("N_COPIES", "parts", "c0", "u").distinct().collect()} == {tuple(r) for r in odd.where("source is not null").select("N_COPIES", "parts", "c0", "u").distinct().collect()}
     rate = mixing.source_rates(docs, {"a": 1.0, "b": 3.0}, 1000.0, 0.0).where("source = 'b'").first()
     assert rate.parts == math.ceil(rate.rate / mixing.PART) and rate.cdf[-1] == pytest.approx(1)
     assert mixing.mix_sources(docs.limit(0)).collect() == []

@@ -51,3 +51,25 @@ def test_round_trip(spark):
     by_place = [r.doc_id for r in sorted(got, key=lambda r: r.place)]
     assert sum(a == b for a, b in zip(by_place, by_place[1:], strict=False)) < len(got) / 4  # sequences of a document are scattered
     assert T.materialise_training_order(df.limit(0)).collect() == []
+
+
+def test_wide_ids_and_two_steps(spark):
+    """Ids as far apart as 64 bits allow, the largest one beside a null one, and shards that are reached in two steps."""
+    rng = random.Random(4)
+    top = (1 << 63) - 1
+    rows = [(rng.randrange(-top, top), "some words " * rng.randrange(60)) for _ in range(200)] + [(top, "at the top"), (-top - 1, "at the bottom"), (None, "nowhere"), (0, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r.place, r.sequence, str(r.doc_id), r.ids)
+    results = []
+    for fan in (2, T.FAN):
+        folder = shared_dir(spark, "tokens")
+        manifest = spark.createDataFrame(T.training_order(T.write_shards(df, folder, length=32, shard_bytes=4096, fan=fan)).collect())
+        assert manifest.count() > 8
+        results.append(sorted(map(key, T.read_shards(manifest, folder, 32, with_ids=True).collect())))
+    assert results[0] == results[1] and [r[0] for r in results[0]] == list(range(len(results[0])))
+    assert sorted({r[2] for r in results[0]}) == sorted({str(d) for d, _ in rows})
+    texts = {str(d): T.np.append(T.encode(t, T.TOKENIZER), T.np.uint16(T.EOS)).tobytes() for d, t in rows}
+    whole = defaultdict(bytes)
+    for _, _, d, ids in sorted(results[0], key=lambda r: (r[2], r[1])):
+        whole[d] += ids
+    assert whole == texts
