@@ -1,7 +1,9 @@
 """Operator 8: licence scan by canonical digests. DataFrame functions only.
 
-A text is put in canonical form - lower case, copyright lines dropped, equivalent spellings unified, punctuation and white space
-as single blanks - and the SHA-256 of the whole canonical text is hash-joined to the digests of known licences in the same form. Lines that
+A text is put in canonical form - lower case, copyright lines dropped, punctuation and white space as single blanks, equivalent
+spellings unified - and the SHA-256 of the whole canonical text is hash-joined to the digests of known licences in the same form. Only lines that
+are copyright lines by themselves go ("Copyright (c) 2020 A. Person", "All rights reserved."), so the digest does not depend on where a
+licence's own text is wrapped. A licence is known with and without its usual title line, with numbered and with other list marks. Lines that
 speak of licensing are texts of their own: their digests find one-line notices. The table of known digests is a constant of this module (or
 the caller's), so it is broadcast by its known length; the side of documents is never shuffled by digest, so widely copied licences are not skewed.
 
@@ -11,13 +13,15 @@ copyright lines only counts as empty; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Spellings that count as equal, as (pattern, replacement), applied to lower-case text.
+#: Spellings that count as equal, as (found, written), applied to lower-case text without punctuation.
 SPELLINGS = [
     ("licence", "license"),
-    ("sub[ -]license", "sublicense"),
+    ("sub license", "sublicense"),
     ("acknowledgement", "acknowledgment"),
     ("analogue", "analog"),
     ("behaviour", "behavior"),
@@ -27,16 +31,21 @@ SPELLINGS = [
     ("utilisation", "utilization"),
     ("whilst", "while"),
     ("wilful", "willful"),
-    ("non[ -]commercial", "noncommercial"),
+    ("non commercial", "noncommercial"),
     ("per cent", "percent"),
     ("owner", "holder"),
-    ("https://", "http://"),
+    ("https ", "http "),
 ]
-COPYRIGHT = "(?m)^[ \\t#*/;-]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*$"
-PUNCTUATION = "[!-/:-@\\[-`{-~\\s“”‘’–—©]+"
+#: A line that only tells whose work it is: a mark and a year, a mark twice, a mark and a colon, or that all rights are reserved.
+COPYRIGHT = (
+    "(?md)^[ \\t#*/;%-]*((copyright|\\(c\\)|©)[ \\t:,]*((\\(c\\)|©|copyright|by)[ \\t:,]*)*[\\[<{(]*([0-9]{4}|yyyy|year)|copyright[ \\t]*(\\(c\\)|©|:)"
+    "|©|copyright[^\\n]*all rights reserved|all rights reserved[.]?[ \\t\\r]*$)[^\\n]*$"
+)
+OWNED = ["copyright", "(c)", "©", "all rights reserved"]
+PUNCTUATION = "[\\x09-\\x0D\\x20!-/:-@\\[-`{-~“”‘’–—©]+"
 SPEAKS = "(?i)licen[cs]e|warranty|copyright|public domain"
+_LIST_MARK = re.compile(r"(?m)^[0-9]+\.\s+")
 
-#: Texts of known licences, and one-line notices, by SPDX identifier.
 KNOWN = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -65,6 +74,94 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution.""",
+    "MIT-0": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-1-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDERS AND CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-4-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization.
+
+4. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY COPYRIGHT HOLDER "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL COPYRIGHT HOLDER BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
+    "BSL-1.0": """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "WTFPL": """DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+Version 2, December 2004
+
+Copyright (C) 2004 Sam Hocevar <sam@hocevar.net>
+
+Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.
+
+DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
+
+0. You just DO WHAT THE FUCK YOU WANT TO.""",
+    "X11": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE X CONSORTIUM BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium.
+
+X Window System is a trademark of X Consortium, Inc.""",
+    "PostgreSQL": """Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.
+
+IN NO EVENT SHALL THE UNIVERSITY OF CALIFORNIA BE LIABLE TO ANY PARTY FOR DIRECT, INDIRECT, SPECIAL, INCIDENTAL, OR CONSEQUENTIAL DAMAGES, INCLUDING LOST PROFITS, ARISING OUT OF THE USE OF THIS SOFTWARE AND ITS DOCUMENTATION, EVEN IF THE UNIVERSITY OF CALIFORNIA HAS BEEN ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+
+THE UNIVERSITY OF CALIFORNIA SPECIFICALLY DISCLAIMS ANY WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE. THE SOFTWARE PROVIDED HEREUNDER IS ON AN "AS IS" BASIS, AND THE UNIVERSITY OF CALIFORNIA HAS NO OBLIGATIONS TO PROVIDE MAINTENANCE, SUPPORT, UPDATES, ENHANCEMENTS, OR MODIFICATIONS.""",
+    "curl": """Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT OF THIRD PARTY RIGHTS. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+Except as contained in this notice, the name of a copyright holder shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization of the copyright holder.""",
+    "NTP": """Permission to use, copy, modify, and distribute this software and its documentation for any purpose with or without fee is hereby granted, provided that the above copyright notice appears in all copies and that both the copyright notice and this permission notice appear in supporting documentation, and that the name (TrademarkedName) not be used in advertising or publicity pertaining to distribution of the software without specific, written prior permission. (TrademarkedName) makes no representations about the suitability this software for any purpose. It is provided "as is" without express or implied warranty.""",
+    "NCSA": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal with the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimers.
+
+* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimers in the documentation and/or other materials provided with the distribution.
+
+* Neither the names of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this Software without specific prior written permission.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE CONTRIBUTORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS WITH THE SOFTWARE.""",
+    "FSFAP": """Copying and distribution of this file, with or without modification, are permitted in any medium without royalty provided the copyright notice and this notice are preserved. This file is offered as-is, without any warranty.""",
+    "ISC:older": """Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "MIT:notice": "Released under the MIT License.",
     "MIT:notice-2": "Licensed under the MIT License.",
     "Apache-2.0:notice": "Licensed under the Apache License, Version 2.0.",
@@ -76,18 +173,129 @@ Permission is granted to anyone to use this software for any purpose, including
     "CC0-1.0:notice": "Dedicated to the public domain under CC0 1.0.",
 }
 
+#: Title lines with which a licence's text may start.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "(The MIT License)", "Expat License", "The Expat License"],
+    "MIT-0": ["MIT No Attribution", "MIT-0", "MIT No Attribution License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "ISC"],
+    "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License", "Zero-Clause BSD License", "BSD-0-Clause License"],
+    "BSD-1-Clause": ["BSD 1-Clause License", "BSD-1-Clause"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD-2-Clause", "FreeBSD License", "BSD License", "The BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "BSD-3-Clause", "BSD License", "The BSD License", "Revised BSD License"],
+    "BSD-4-Clause": ["BSD 4-Clause License", "BSD-4-Clause", 'BSD 4-Clause "Original" or "Old" License'],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License", "zlib/libpng License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+    "BSL-1.0": ["Boost Software License", "Boost Software License 1.0"],
+    "NCSA": ["University of Illinois/NCSA Open Source License", "University of Illinois/NCSA Open Source License (NCSA)"],
+    "PostgreSQL": ["PostgreSQL License", "The PostgreSQL License", "The PostgreSQL Licence"],
+    "X11": ["X11 License", "The X11 License"],
+    "NTP": ["NTP License", "NTP License (NTP)"],
+    "curl": ["curl License", "COPYRIGHT AND PERMISSION NOTICE"],
+}
+
+#: Digests of the canonical forms of longer licences' published texts. Where two are given, the texts differ in their appendix.
+DIGESTS: dict[str, list[str]] = {
+    "Apache-2.0": [
+        "37a3feb9fba49b17574260b8d4b8575c03b4d5b388416112d0ed98678170c672",
+        "5daa3113c565004505d239ea2eae3cbec531d3208eaec5098a3d28f19c399936",
+        "82907cd782be18972be6db74ff65324dfdbe68ab7fcc4e694cd306d584ab0e27",
+        "c1363ac6d109132ab7c329b7785ee91ac7cee79bdb8eb6f63fb41174fed26835",
+        "d1675cf86d7f486b8b889235f213aef90918eef1f60cf8d5abf1819055931ab7",
+        "d59f63cff7ef9f84109d4a82892556a23b876f96ade1590e4598be3e9e687aa4",
+        "d8e867ba931d199eb838d0596567b5c912f40b8e494f2b0520f556c0e2bca9c6",
+        "fcb3e93a2f65cd3f5082abd999b97f7ba497d85e19a986d9a962f408d2ee3576",
+    ],
+    "Artistic-1.0-Perl": [
+        "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
+    ],
+    "BSD-3-Clause-Regents": [
+        "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651",
+    ],
+    "CC0-1.0": [
+        "de4b88a2c819a4661af54f735069ed878216da8b4992b919b84afa18cfc0e54c",
+    ],
+    "CDDL-1.0": [
+        "50c34af8f814176a206a8c7c2e2b5d41494ae9c194ca8bb6df5a4411f5e353c4",
+    ],
+    "EPL-2.0": [
+        "285cf06b24ab097fe1b235971f4eaa9fe77724473a2faf1e849b49df2d565c03",
+        "425e0132ac1196e23583b854a5eaff4a1b326692ecf4552ae6b7d1098cf27ac6",
+        "eecc43c0e0de9fbade5a68edd5ff9236016cec0e0dbf3bf3b510f27c4bbd63fe",
+    ],
+    "GFDL-1.2": [
+        "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b",
+    ],
+    "GFDL-1.3": [
+        "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d",
+    ],
+    "GPL-1.0": [
+        "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc",
+        "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70",
+        "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    ],
+    "GPL-2.0": [
+        "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808",
+        "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34",
+        "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    ],
+    "GPL-3.0": [
+        "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191",
+        "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636",
+        "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+    ],
+    "LGPL-2.0": [
+        "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2",
+        "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260",
+        "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    ],
+    "LGPL-2.1": [
+        "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",
+        "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+        "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df",
+    ],
+    "LGPL-3.0": [
+        "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    ],
+    "MPL-1.1": [
+        "2c3bf5772d9eedd4824d7b54fe8dd9b3905d83661014445c71d1d3ebf9654f94",
+    ],
+    "MPL-2.0": [
+        "47a6a26dd655037b8b3d248dc45b3bc3df58bade00030fd466f738a08cc754ef",
+    ],
+}
+
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT, "")
-    for pattern, to in SPELLINGS:
-        out = F.regexp_replace(out, pattern, to)
-    return F.trim(F.regexp_replace(out, PUNCTUATION, " "))
+    out = F.lower(text)
+    owned = F.contains(out, F.lit(OWNED[0]))
+    for mark in OWNED[1:]:
+        owned = owned | F.contains(out, F.lit(mark))
+    out = F.when(owned, F.regexp_replace(out, COPYRIGHT, "")).otherwise(out)
+    out = F.trim(F.regexp_replace(out, PUNCTUATION, " "))
+    for found, written in SPELLINGS:
+        out = F.replace(out, F.lit(found), F.lit(written))
+    return out
+
+
+def variants(known: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """(license, text): the known texts; by default also with their title lines, with other list marks, and SPDX tags as notices."""
+    if known is not None:
+        return sorted(known.items())
+    out = []
+    for name, text in KNOWN.items():
+        name = name.removesuffix(":older")
+        for body in dict.fromkeys([text, _LIST_MARK.sub("", text)]):
+            out += [(name, body), *[(name, f"{title}\n\n{body}") for title in TITLES.get(name, [])]]
+    tags = {k.partition(":")[0] for k in KNOWN} | set(DIGESTS)
+    return sorted(out + [(f"{name}:notice", f"SPDX-License-Identifier: {name}") for name in tags])
 
 
 def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
     """-> digest, license: one row for each canonical text; the first identifier in order stands for equal ones."""
-    rows = spark.createDataFrame(sorted((KNOWN if known is None else known).items()) or [], "license string, text string")
-    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    rows = spark.createDataFrame(variants(known), "license string, text string").select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license")
+    if known is None:
+        rows = rows.union(spark.createDataFrame([(d, name) for name, ds in DIGESTS.items() for d in ds], "digest string, license string"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
@@ -101,23 +309,3 @@ def scan_licenses(docs: DataFrame, known: dict[str, str] | None = None) -> DataF
     found = F.coalesce(F.array_sort(F.array_compact(F.transform("lines", lambda x: F.try_element_at("names", x)))), F.array().cast("array<string>"))
     rows = rows.select("doc_id", "canonical_sha256", "license", found.alias("found"))
     return rows.select("doc_id", "canonical_sha256", "license", F.size("found").cast("long").alias("n_notices"), F.array_join("found", ",").alias("notices"))
-
-
-def oracle() -> str:
-    """The same in DuckDB SQL, over the view documents."""
-
-    def canon(x: str) -> str:
-        out = f"regexp_replace(lower({x}), '{COPYRIGHT.replace('(?m)', '(?m)')}', '', 'g')"
-        for pattern, to in SPELLINGS:
-            out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
-        return f"trim(regexp_replace({out}, '{PUNCTUATION}', ' ', 'g'))"
-
-    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(KNOWN.items()))
-    return f"""
-WITH known AS (SELECT sha256({canon("body")}) AS digest, min(id) AS license FROM (VALUES {values}) AS k(id, body) GROUP BY 1),
-lines AS (SELECT doc_id, sha256({canon("line")}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE regexp_matches(text, '{SPEAKS}')) WHERE regexp_matches(line, '{SPEAKS}')),
-found AS (SELECT doc_id, count(*) AS n, string_agg(license, ',' ORDER BY license) AS notices FROM lines JOIN known USING (digest) GROUP BY doc_id),
-docs AS (SELECT doc_id, sha256({canon("coalesce(text, '')")}) AS digest FROM documents)
-SELECT d.doc_id, d.digest AS canonical_sha256, k.license, coalesce(f.n, 0)::BIGINT AS n_notices, coalesce(f.notices, '') AS notices
-FROM docs d LEFT JOIN known k USING (digest) LEFT JOIN found f ON f.doc_id = d.doc_id
-"""

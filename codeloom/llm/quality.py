@@ -1,10 +1,14 @@
 """Operator 9: quality rules with risk-controlled thresholds. DataFrame functions only.
 
 ``measure`` gives each text's base figures. ``calibrate`` then takes the labelled good documents of each stratum (here the language)
-as a holdout and, for each rule, tests a fixed grid of cutoffs: a cutoff is certified if the exact binomial tail
-P(Binomial(n, alpha) <= rejected) is at most delta / (strata x rules x cutoffs), the Bonferroni correction of all tests made. The
-strictest certified cutoff holds, so with probability 1 - delta no rule rejects more than alpha of any stratum's good
-documents. Where none is certified (too few labels), the rule rejects nothing there.
+as a holdout. The rules' cutoffs form a ladder of levels from lenient to strict, and a level's verdict rejects what any of its rules rejects. A
+level is certified if the exact binomial tail P(Binomial(n, alpha) <= rejected good documents) is at most the stratum's part of delta. Levels are tested in
+the fixed order of the ladder, up to the first that is not certified, which needs no further correction; strata share delta by the sizes of their
+holdouts (weighted Bonferroni). The strictest certified level holds, so with probability 1 - delta the verdict rejects no more than alpha of the
+good documents of any stratum, over all rules together and in all strata at once. Where no level is certified (too few labels: with no good document
+rejected, (1 - alpha)^n must come down to the stratum's part of delta), the rules reject nothing.
+
+Windows of three words are compared by 64-bit XXH64 of their words, not by the words themselves.
 
 Edge cases: a null or empty text has no words, so it fails the base rule; a null language is a stratum of its own; repeated rows are
 judged alike; labels without a document, of null ids or null quality do not count, and a doc_id with several labels
@@ -13,6 +17,9 @@ counts once, by its smallest; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +28,7 @@ from codeloom.llm.common import broadcast_if_small, materialize
 SPACE = "[\\x20\\x09-\\x0D]"
 WHITE = " \t\n\x0b\x0c\r"
 
-#: Rules: name, value (a ratio of base figures), and cutoffs from strict to lenient; a value above the cutoff is rejected.
+#: Rules: name, value (a ratio of base figures), and cutoffs of the levels from strict to lenient; a value above the cutoff is rejected.
 RULES = {
     "symbols": ("n_symbols / greatest(n_words, 1)", [0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0]),
     "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.8]),
@@ -71,27 +78,35 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.aggregate(terms, start, step)["sum"])
 
 
+LEVELS = range(10)
+
+
+def _over(name: str, cut: Column) -> Column:
+    return F.expr(RULES[name][0]) > cut
+
+
 def calibrate(measured: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
-    """-> lang and one cutoff for each rule (null: none certified)."""
+    """-> lang, level: the strictest certified one, 0 to 9 (null: none)."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     held = measured.where("not base_failed").join(good, "doc_id", "left_semi")
-    hits = [F.count_if(F.expr(value) > c).alias(f"{name}_{j}") for name, (value, cuts) in RULES.items() for j, c in enumerate(cuts)]
-    table = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *hits)
-    strata = table.agg(F.count(F.lit(1)).alias("strata"))
-    tests = sum(len(cuts) for _, cuts in RULES.values())
-    table = table.join(F.broadcast(strata))
-    ok = lambda name, j: binomial_tail(F.col(f"{name}_{j}"), F.col("n"), alpha) <= delta / (F.col("strata") * tests)
-    pick = {name: F.coalesce(*[F.when(ok(name, j), F.lit(c)) for j, c in enumerate(cuts)]) for name, (_, cuts) in RULES.items()}
-    return table.select("lang", *[cut.alias(f"cut_{name}") for name, cut in pick.items()])
-
-
-def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05, max_broadcast: int = 10_000) -> DataFrame:
-    """docs (doc_id, text, lang), labels (doc_id, quality) -> doc_id, base figures, base_failed, kept, failed_rules."""
+    rejects = [reduce(or_, [_over(name, F.lit(cuts[j])) for name, (_, cuts) in RULES.items()]) for j in LEVELS]
+    table = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(x).alias(f"k{j}") for j, x in zip(LEVELS, rejects, strict=True)])
+    table = table.join(F.broadcast(table.agg(F.sum("n").alias("total"))))
+    # a stricter level rejects no less, so the strictest certified level has only certified ones before it in the order of the tests
+    ok = [binomial_tail(F.col(f"k{j}"), F.col("n"), alpha) <= delta * F.col("n") / F.col("total") for j in LEVELS]
+    return table.select("lang", F.coalesce(*[F.when(x, F.lit(j)) for j, x in zip(LEVELS, ok, strict=True)]).alias("level"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, max_broadcast: int = 10_000) -> DataFrame:
+    """docs (doc_id, text, lang), labels (doc_id, quality) -> doc_id, base figures, base_failed, kept, failed_rules.
+
+    alpha: share of a stratum's good documents that the verdict may reject. delta: chance that it rejects more in some stratum.
+    """
     measured = materialize(measure(docs), "quality")
-    cuts = calibrate(measured, labels, alpha, delta).withColumnRenamed("lang", "__lang")
-    cuts = broadcast_if_small(cuts, max_broadcast)
-    rows = measured.join(cuts, F.col("lang").eqNullSafe(F.col("__lang")), "left")
-    failed = F.array_compact(F.array(*[F.when(~F.col("base_failed") & (F.expr(value) > F.col(f"cut_{name}")), F.lit(name)) for name, (value, _) in RULES.items()]))
+    levels = broadcast_if_small(calibrate(measured, labels, alpha, delta).withColumnRenamed("lang", "__lang"), max_broadcast)
+    rows = measured.join(levels, F.col("lang").eqNullSafe(F.col("__lang")), "left")
+    at = lambda cuts: F.get(F.array(*[F.lit(c) for c in cuts]), "level")
+    failed = F.array_compact(F.array(*[F.when(~F.col("base_failed") & _over(name, at(cuts)), F.lit(name)) for name, (_, cuts) in RULES.items()]))
     rows = rows.withColumn("failed", failed)
     kept = ~F.col("base_failed") & (F.size("failed") == 0)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.array_join("failed", ",").alias("failed_rules"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codeloom.llm import licenses, mixing, sql
 from codeloom.llm.common import table
@@ -55,7 +56,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")  # a source stands for an owner, its documents of a language for a repository
+    return scan_secrets(docs.withColumn("repository", F.concat_ws("/", "source", "lang")), "repository", "source")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -77,7 +79,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": sql.op1(),
         "op7_mixing": mixing.ORACLE.format(docs="documents"),
-        "op8_licenses": licenses.oracle(),
+        "op8_licenses": sql.op8(),
         "op9_quality": sql.op9(),
         "op10_secrets": sql.op10(),
     }

@@ -4,8 +4,8 @@ A document is a bag of sentences. A sentence's probability is a logistic functio
 noisy-or of its sentences': 1 - product(1 - p). Only document labels are known, and the gradient of the noisy-or tells which
 sentences they speak of, so the model also locates offending sentences (``locate``).
 
-The model is fitted on the driver to a bounded sample of labelled rows (``max_rows``, those of smallest id hash, one text of each, and of
-them ``max_words`` distinct words by document frequency); executors make the sample's features, and every text is scored whole
+The model is fitted on the driver to a sample of labelled rows that is bounded in rows and bytes (``max_rows``, those of smallest id hash, one text of
+each, ``max_bytes``), and in features (``max_words``); executors make the sample's features, and every text is scored whole
 where it lies. Rows are labelled for training only where crc32(doc_id) mod 5 is not 0; labels, lang, source and doc_id are never inputs of a score.
 
 Edge cases: a null, empty or wordless text has one empty sentence and so the model's base rate; a label without a document, of a
@@ -15,6 +15,7 @@ the model knows no words and every score is near 0 (near 1 if all labels are 1);
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,10 +23,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.llm.common import free_names, materialize
+
 FOLDS = 5
 WORD = re.compile(r"\w+")
 ENDS = re.compile(r"[.!?]+(?=\s|$)|\n")
@@ -40,6 +43,21 @@ def features(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in PREFIXES if len(word) > k]]
 
 
+def noisy_or(logits: list[float]) -> float:
+    """1 - product(1 - p), by the sum of log(1 - p)."""
+    return float(min(1.0, max(0.0, -np.expm1(-np.logaddexp(0.0, np.sort(np.array(logits))).sum()))))
+
+
+def sentence_bounds(text: str | None, number: int) -> tuple[int, int]:
+    """Where the sentence of this number starts and ends. Sentences are parted by marks that have no case."""
+    start = 0
+    for n, mark in enumerate(ENDS.finditer(text or "")):
+        if n == number:
+            return start, mark.start()
+        start = mark.end()
+    return start, len(text or "")
+
+
 @dataclass
 class Model:
     """Weights of features in a sentence's logit, and the logit of a sentence of none of them."""
@@ -69,9 +87,13 @@ class Model:
         return out
 
     def score(self, text: str | None) -> float:
-        """Noisy-or of the sentences, by the sum of log(1 - p)."""
-        z = np.sort(np.array(self.logits(text)))
-        return float(min(1.0, max(0.0, -np.expm1(-np.logaddexp(0.0, z).sum()))))
+        return noisy_or(self.logits(text))
+
+    def judge(self, text: str | None, least: float = 0.5) -> tuple[float, int, int | None, int | None]:
+        """Score, sentences of probability least or more, and where the likeliest of them is (start, end in code points; None if there is none)."""
+        z = self.logits(text)
+        bad = sum(x >= math.log(least / (1 - least)) for x in z)
+        return noisy_or(z), bad, *(sentence_bounds(text, z.index(max(z))) if bad else (None, None))
 
 
 def _bags(df: DataFrame) -> DataFrame:
@@ -100,17 +122,26 @@ def _feature_ids(words: pa.StringArray) -> Iterator[tuple[np.ndarray, pa.StringA
         yield coded.indices.fill_null(-1).to_numpy(zero_copy_only=False), pc.binary_join_element_wise(coded.dictionary, "*", "")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_words: int = 20_000, min_docs: int = 5, least_z: float = 3.5, epochs: int = 200, l1: float = 0.7) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_words: int = 20_000, min_docs: int = 5, least_z: float = 3.5, epochs: int = 200, l1: float = 0.7,
+    max_text: int = 1 << 20, max_bytes: int = 64 << 20,
+) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic).
 
+    The sample that the driver gets: labelled ids in the order of their hashes, max_rows at most; of each one text, of those of max_text bytes or less that of the
+    smallest hash; as many of them as have max_bytes together.
     Features are screened: in min_docs documents or more, and off the rate of toxic ones by least_z standard errors.
     l1: nats that a unit of a word's weight costs; a word that a few documents share by chance does not pay for it.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     marks = labels.where("doc_id is not null and toxic is not null").where(fold != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("y", "text"), F.xxhash64("text")).alias("x"))
-    sample = sample.sortWithinPartitions("doc_id").select("x.y", "x.text")
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= max_text).join(F.broadcast(chosen), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.min_by(F.struct("y", "text"), F.xxhash64("text")).alias("x"))
+    sample = materialize(sample.select("doc_id", "x.y", "x.text", F.octet_length("x.text").alias("size")), "labelled")
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of max_rows slim rows
+    within = sample.select("doc_id", "size").withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("doc_id")
+    sample = sample.join(F.broadcast(within), "doc_id").sortWithinPartitions("doc_id").select("y", "text")
     rows = _bags(sample).toArrow()
     y = rows.column("y").to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
@@ -166,18 +197,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_words: int
     return Model({kept[k][0]: float(x) for k, x in zip(known.tolist(), w.tolist(), strict=True) if abs(x) > 1e-3}, float(bias))
 
 
-def with_scores(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """docs with one more column (double); all other columns pass."""
-    spread, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+JUDGED = {"score": T.DoubleType(), "n_offending": T.LongType(), "worst_start": T.LongType(), "worst_end": T.LongType()}
+
+
+def with_scores(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
+    """docs with four more columns (JUDGED, named by columns if given): the score, sentences of probability 1/2 or more, and where the likeliest is (null: none)."""
+    spread, at = docs.sparkSession.sparkContext.broadcast(model), [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = spread.value.score
+        judge = spread.value.judge
         for batch in batches:
-            values = [score(x.as_py()) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[f"c{i}" for i in range(batch.num_columns + 1)])
+            rows = [judge(x.as_py()) for x in batch.column(at)]
+            own = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.float64(), pa.int64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[f"c{i}" for i in range(batch.num_columns + 4)])
 
-    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)] + [T.StructField(f"c{len(docs.columns)}", T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType(fields)).toDF(*docs.columns, column)
+    types = [f.dataType for f in docs.schema.fields] + list(JUDGED.values())
+    return docs.mapInArrow(run, T.StructType([T.StructField(f"c{i}", t) for i, t in enumerate(types)])).toDF(*docs.columns, *(columns or JUDGED))
 
 
 def locate(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -188,27 +223,25 @@ def locate(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text, start = text or "", 0
-                ends = [(x.start(), x.end()) for x in ENDS.finditer(text)] + [(len(text), len(text))]
-                for n, (a, b) in enumerate(ends):
-                    z = spread.value.logits(text[start:a].replace("\n", " "))[0]
+                for n, z in enumerate(spread.value.logits(text)):
                     p = float(1 / (1 + np.exp(-z)))
                     if p >= least:
-                        rows.append((doc_id, n, start, a, p, text[start:a]))
-                    start = b
+                        start, end = sentence_bounds(text, n)
+                        rows.append((doc_id, n, start, end, p, (text or "")[start:end]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.string()))], names=["doc_id", "sentence", "start", "end", "p", "text"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sentence int, start long, end long, p double, text string")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """docs (doc_id, text), labels (doc_id, toxic) -> doc_id, held_out, score, predicted."""
+    """docs (doc_id, text), labels (doc_id, toxic) -> doc_id, held_out, score, predicted, n_offending, worst_start, worst_end."""
     model = fit(docs, labels, **settings)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
     rows = with_scores(docs.select("doc_id", "text"), model)
-    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_offending", "worst_start", "worst_end")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """docs without the rows that the model predicts to be toxic, with all their columns."""
-    return with_scores(docs, fit(docs, labels, **settings), "__score").where("__score < 0.5").drop("__score")
+    names = free_names(docs.columns, list(JUDGED))
+    return with_scores(docs, fit(docs, labels, **settings), names).where(F.col(names[0]) < 0.5).select(*docs.columns)

@@ -45,6 +45,11 @@ def test_learns_located_sentences(spark):
     right = sum(any(w in r.text.lower() for w in ("fool", "idiot", "schlimm")) for r in found)
     assert right / len(found) > 0.95 and len({r.doc_id for r in found}) > 40
     assert all(texts[r.doc_id][r.start : r.end] == r.text for r in found)
+    for r in got:  # the worst sentence is one of those that locate finds, and they are counted
+        if r.doc_id is not None and r.doc_id < 300 and r.doc_id != 7:
+            own = [x for x in found if x.doc_id == r.doc_id]
+            assert r.n_offending == len(own)
+            assert (r.worst_start, r.worst_end) in {(x.start, x.end) for x in own if x.p == max(y.p for y in own)} if own else r.worst_start is r.worst_end is None
     stay = X.drop_toxic(df, marks)
     assert stay.columns == df.columns and stay.count() == sum(r.predicted == 0 for r in got)
     assert X.score_documents(df.limit(0), marks).collect() == []
@@ -57,3 +62,12 @@ def test_noisy_or():
     z = m.logits("So bad bad. Terrible. fine\nterri")
     assert z == [1.0, -1.0, -2.0, -2.0]
     assert m.score("So bad bad. Terrible. fine\nterri") == pytest.approx(1 - np.prod(1 / (1 + np.exp(z))))
+
+
+def test_locate_edges(spark):
+    m = X.Model({"bad": 9.0}, -4.0)
+    rows = [(1, None), (2, ""), (3, "Bad\n\n  fine! BAD"), (3, "Bad\n\n  fine! BAD"), (None, "x. İbad bad?"), (4, "good. " * 50_000 + "bad")]
+    found = X.locate(spark.createDataFrame([(d, t, 7) for d, t in rows], "doc_id long, text string, start int"), m).collect()
+    assert sorted(((r.doc_id, r.sentence, r.start, r.end, r.text) for r in found), key=str) == sorted([(3, 0, 0, 3, "Bad"), (3, 3, 12, 16, " BAD")] * 2 + [(None, 1, 2, 11, " İbad bad"), (4, 50_000, 299_999, 300_003, " bad")], key=str)
+    assert X.locate(spark.createDataFrame([], "doc_id long, text string"), m).collect() == []
+    assert m.judge(None) == (pytest.approx(1 / (1 + np.exp(4))), 0, None, None) and m.judge("a. bad. bad bad")[1:] == (2, 2, 6)

@@ -26,3 +26,17 @@ def test_bound_of_the_sample(spark):
     finally:
         X._bags = bags
     assert seen == [8000]
+
+
+def test_bytes_of_the_sample(spark):
+    """Long texts are left out and the rest is bounded together; what is taken does not depend on how rows are dealt."""
+    rows = [(d, ("fool " if d % 2 else "fine ") * (10 if d % 7 else 50_000)) for d in range(400)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(d, d % 2) for d, _ in rows], "doc_id long, toxic int")
+    seen, bags = [], X._bags
+    try:
+        X._bags = lambda sample: seen.append(sorted(r.text for r in sample.collect())) or bags(sample)
+        X.fit(docs, marks, max_text=100_000, max_bytes=5_000)
+        X.fit(docs.repartition(5), marks, max_text=100_000, max_bytes=5_000)
+    finally:
+        X._bags = bags
+    assert seen[0] == seen[1] and len(seen[0]) == 100 and sum(map(len, seen[0])) == 5_000
