@@ -5,7 +5,7 @@ noisy-or of its sentences': 1 - product(1 - p). Only document labels are known,
 sentences they speak of, so the model also locates offending sentences (``locate``).
 
 The model is fitted on the driver to a sample of labelled rows that is bounded in rows and bytes (``max_rows``, those of smallest id hash, one text of
-each, ``max_bytes``), and in features (``max_words``); executors make the sample's features, and every text is scored whole
+each, ``max_bytes``), and in features (``max_words``). Executors count the sample's features; the driver gets the numbers of the known ones, and no text; executors make the sample's features, and every text is scored whole
 where it lies. Rows are labelled for training only where crc32(doc_id) mod 5 is not 0; labels, lang, source and doc_id are never inputs of a score.
 
 Edge cases: a null, empty or wordless text has one empty sentence and so the model's base rate; a label without a document, of a
@@ -17,12 +17,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,30 +96,49 @@ class Model:
         return noisy_or(z), bad, *(sentence_bounds(text, z.index(max(z))) if bad else (None, None))
 
 
-def _bags(df: DataFrame) -> DataFrame:
-    """(y, text) -> y, words: the distinct words of each sentence, sentences parted by an empty string."""
+def _sentences(text: str | None) -> list[list[str]]:
+    """The distinct words of each sentence, sorted."""
+    return [sorted(set(WORD.findall(x))) for x in ENDS.split((text or "").lower())]
+
+
+def _frequencies(sample: DataFrame) -> DataFrame:
+    """sample (y, text) -> feature, n, toxic: in how many documents and in how many toxic ones a feature is. Added up in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[str] = Counter()
+        toxic: Counter[str] = Counter()
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                bag: list[str] = []
-                for s in ENDS.split((text or "").lower()):
-                    bag += sorted(set(WORD.findall(s)))
-                    bag.append("")
-                rows.append(bag)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.string()))], names=["y", "words"])
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = {f for words in _sentences(text.as_py()) for w in words for f in features(w)}
+                n.update(own)
+                if y:
+                    toxic.update(own)
+        names = list(n)
+        for lo in range(0, len(names), 50_000):
+            part = names[lo : lo + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([n[f] for f in part], pa.int64()), pa.array([toxic[f] for f in part], pa.int64())], names=["feature", "n", "toxic"])
+
+    return sample.select("y", "text").mapInArrow(run, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
-    return df.mapInArrow(run, "y int, words array<string>")
 
+def _bags(sample: DataFrame, known: dict[str, int]) -> DataFrame:
+    """sample (doc_id, y, text) -> doc_id, y, n (sentences), ids, at: numbers of the known features, and the sentence that each is in."""
+    spread = sample.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = spread.value.get
+        for batch in batches:
+            sizes, ids, at = [], [], []
+            for text in batch.column(2):
+                found = _sentences(text.as_py())
+                own = [(k, i) for i, words in enumerate(found) for w in words for f in features(w) if (k := number(f)) is not None]
+                sizes.append(len(found))
+                ids.append([k for k, _ in own])
+                at.append([i for _, i in own])
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(ids, kind), pa.array(at, kind)], names=["doc_id", "y", "n", "ids", "at"])
 
-def _feature_ids(words: pa.StringArray) -> Iterator[tuple[np.ndarray, pa.StringArray]]:
-    """For each kind of feature: its number for every word (-1: the word has none), and the features' names."""
-    yield np.arange(len(words), dtype=np.int32), words
-    for k in PREFIXES:
-        cut = pc.if_else(pc.greater(pc.utf8_length(words), k), pc.utf8_slice_codeunits(words, 0, k), None)
-        coded = cut.dictionary_encode()
-        yield coded.indices.fill_null(-1).to_numpy(zero_copy_only=False), pc.binary_join_element_wise(coded.dictionary, "*", "")
+    return sample.select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text").mapInArrow(run, "doc_id long, y int, n int, ids array<int>, at array<int>")
 
 
 def fit(
@@ -141,45 +160,21 @@ def fit(
     sample = materialize(sample.select("doc_id", "x.y", "x.text", F.octet_length("x.text").alias("size")), "labelled")
     upto = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of max_rows slim rows
     within = sample.select("doc_id", "size").withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("doc_id")
-    sample = sample.join(F.broadcast(within), "doc_id").sortWithinPartitions("doc_id").select("y", "text")
-    rows = _bags(sample).toArrow()
-    y = rows.column("y").to_numpy().astype(np.float64)
-    if not len(y) or y.min() == y.max():
-        return Model({}, 20.0 if len(y) and y.min() == 1 else -20.0)
-    words = rows.column("words").combine_chunks()
-    doc = np.repeat(np.arange(len(y), dtype=np.int32), words.value_lengths().to_numpy(zero_copy_only=False))
-    coded = words.flatten().dictionary_encode()
-    del rows, words
-    code = coded.indices.to_numpy(zero_copy_only=False)
-    gap = code == coded.dictionary.index("").as_py()
-    sentence = (np.cumsum(gap) - gap).astype(np.int32)
-    owner = doc[gap]  # of each sentence
-    code, doc, sentence = code[~gap], doc[~gap], sentence[~gap]
-    seen = np.unique(code.astype(np.int64) * len(y) + doc)  # words by document
-    seen = (seen // len(y)).astype(np.int32), (seen % len(y)).astype(np.int32)
-    kept: list[tuple[str, float]] = []
-    parts = []
-    for ids, names in _feature_ids(coded.dictionary):
-        at = ids[seen[0]]
-        pairs = np.unique(at[at >= 0].astype(np.int64) * len(y) + seen[1][at >= 0])
-        frequency = np.bincount(pairs // len(y), minlength=len(names))
-        toxic = np.bincount(pairs // len(y), weights=y[pairs % len(y)], minlength=len(names))
-        share = frequency / len(y)  # of all documents; as many of the toxic ones if the feature says nothing
-        z = np.abs(toxic - y.sum() * share) / np.sqrt(y.sum() * share * (1 - share) * (1 - y.mean()) + 1e-9)
-        z[(frequency < min_docs) | np.array([n == "" for n in names.to_pylist()], bool)] = 0
-        kept += [(name, float(z[i])) for i, name in zip(np.flatnonzero(z >= least_z).tolist(), names.take(np.flatnonzero(z >= least_z)).to_pylist(), strict=True)]
-        place = np.full(len(names) + 1, -1, np.int32)  # the last is for words without this feature
-        place[np.flatnonzero(z >= least_z)] = np.arange((z >= least_z).sum())
-        parts.append(place[ids[code]])
-    first = np.cumsum([0, *[int(p.max(initial=-1)) + 1 for p in parts]])
-    strongest = np.argsort([-z for _, z in kept], kind="stable")[:max_words]
-    known = np.sort(strongest)
-    rank = np.full(len(kept) + 1, -1, np.int32)
-    rank[known] = np.arange(len(known))
-    columns = [(rank[np.where(p >= 0, p + f, -1)], sentence) for p, f in zip(parts, first[:-1], strict=True)]
-    feature = np.concatenate([f[f >= 0] for f, _ in columns])
-    at = np.concatenate([s[f >= 0] for f, s in columns])
-    del parts, columns, code, doc, sentence, seen
+    sample = sample.join(F.broadcast(within), "doc_id")
+    total, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not total or positive in (0, total):
+        return Model({}, 20.0 if total and positive else -20.0)
+    share = F.col("n") / total  # of all documents; as many of the toxic ones if the feature says nothing
+    z = F.abs(F.col("toxic") - positive * share) / F.sqrt(positive * share * (1 - share) * (1 - positive / total) + 1e-9)
+    strongest = _frequencies(sample).where(F.col("n") >= min_docs).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(max_words)
+    known = sorted(r.feature for r in strongest.select("feature").collect())
+    rows = _bags(sample, {f: i for i, f in enumerate(known)}).toArrow().sort_by("doc_id")
+    y, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("y", "n"))
+    sizes = rows.column("ids").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    feature = rows.column("ids").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    at = rows.column("at").combine_chunks().flatten().to_numpy(zero_copy_only=False) + np.repeat(np.cumsum(n) - n, sizes)
+    owner = np.repeat(np.arange(len(y)), n)  # of each sentence
+    del rows
     w, bias = np.zeros(len(known)), -5.0
     m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     for step in range(1, epochs + 1):
@@ -194,7 +189,7 @@ def fit(
         move = rate * m / (1 - 0.9**step)
         w, bias = w - move[:-1], bias - move[-1]
         w = np.sign(w) * np.maximum(np.abs(w) - rate[:-1] * l1 * min(1.0, step / epochs * 2) / len(y), 0)  # proximal step of the l1 penalty, which sets in by and by
-    return Model({kept[k][0]: float(x) for k, x in zip(known.tolist(), w.tolist(), strict=True) if abs(x) > 1e-3}, float(bias))
+    return Model({f: float(x) for f, x in zip(known, w.tolist(), strict=True) if abs(x) > 1e-3}, float(bias))
 
 
 JUDGED = {"score": T.DoubleType(), "n_offending": T.LongType(), "worst_start": T.LongType(), "worst_end": T.LongType()}
