@@ -57,6 +57,10 @@ def megabytes(n: Column) -> Column:
     return F.format_number(n / (1 << 20), 1)
 
 
+def minute(time: Column) -> Column:
+    return F.date_format(time, "yyyy-MM-dd HH:mm")
+
+
 def location(path: Column, line: Column) -> Column:
     """path:line, the path alone without a line, null without a path."""
     return F.when(path != "", F.concat_ws(":", path, line.cast("string")))
@@ -76,23 +80,40 @@ def newlines(text: Column) -> Column:
 
 
 MATCH = "array<struct<m:string,pos:int,line:int>>"
+#: Matches that are folded at once: work grows with the matches and not with their square.
+PART = 256
+
+
+def _let(x: Column, f) -> Column:
+    """f(x), with x computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Every match from left to right: its text, the characters before it and its line. One pass folds pieces and matches."""
+    """Every match from left to right: its text, the characters before it and its line. Pieces and matches are folded in parts."""
     whole = f"(?U)({pattern})"
     found, gaps = F.regexp_extract_all(text, F.lit(whole), F.lit(1)), F.split(text, whole, -1)
     lines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
     pairs = F.filter(F.arrays_zip(found.alias("m"), gaps.alias("gap")), lambda x: x["m"].isNotNull())
+    steps = F.transform(pairs, lambda x: F.struct(x["m"].alias("m"), F.length(x["gap"]).alias("before"), F.length(x["m"]).alias("size"), lines(x["gap"]).alias("above"), lines(x["m"]).alias("within")))
+    total = lambda p, a, b: F.aggregate(p, F.lit(0), lambda n, x: n + x[a] + x[b])
     kind = f"struct<pos:int,line:int,all:{MATCH}>"
-    start = F.struct(F.lit(0).alias("pos"), F.lit(1).alias("line"), F.array().cast(MATCH).alias("all")).cast(kind)
 
     def step(acc: Column, x: Column) -> Column:
-        pos, line = acc["pos"] + F.length(x["gap"]), acc["line"] + lines(x["gap"])
-        here = F.struct(x["m"].alias("m"), pos.alias("pos"), line.alias("line"))
-        return F.struct((pos + F.length(x["m"])).alias("pos"), (line + lines(x["m"])).alias("line"), F.concat(acc["all"], F.array(here)).alias("all")).cast(kind)
+        here = F.struct(x["m"].alias("m"), (acc["pos"] + x["before"]).alias("pos"), (acc["line"] + x["above"]).alias("line"))
+        return F.struct((acc["pos"] + x["before"] + x["size"]).alias("pos"), (acc["line"] + x["above"] + x["within"]).alias("line"), F.concat(acc["all"], F.array(here)).alias("all"))
+
+    def running(parts: Column, a: str, b: str, first: int) -> Column:
+        """What lies before each part."""
+        return F.aggregate(F.transform(parts, lambda p: total(p, a, b)), F.array(F.lit(first)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    def fold(parts: Column) -> Column:
+        begin = lambda s, i: F.struct(F.get(s["pos"], i).alias("pos"), F.get(s["line"], i).alias("line"), F.array().cast(MATCH).alias("all")).cast(kind)
+        starts = F.struct(running(parts, "before", "size", 0).alias("pos"), running(parts, "above", "within", 1).alias("line"))
+        return _let(starts, lambda s: F.flatten(F.transform(parts, lambda p, i: F.aggregate(p, begin(s, i), step)["all"])))
 
-    return F.when(text.rlike(whole), F.aggregate(pairs, start, step)["all"]).otherwise(F.array().cast(MATCH))
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(x) - 1) / PART).cast("int"), F.lit(0))), lambda c: F.slice(x, c * PART + 1, F.lit(PART)))
+    return F.when(text.rlike(whole), _let(_let(steps, cut), fold)).otherwise(F.array().cast(MATCH))
 
 
 def enclosing(text: Column, pos: Column, skip_keywords: bool = True) -> Column:

@@ -17,6 +17,7 @@ from codeloom.functions import text as X
 from codeloom.operators import graph as G
 from codeloom.operators import match as M
 from codeloom.operators import ranking as R
+from codeloom.plans import tree_queries
 from codeloom.sources import yaml_ops
 from codeloom.sources.store import materialize
 
@@ -549,8 +550,8 @@ def set_difference(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | tree_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | tree_queries.oracle_sql()

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom import constants as C
-from codeloom.functions.text import enclosing, matches, truncate
+from codeloom.functions.text import enclosing, matches, newlines, truncate
 
 #: Phases of a file's bindings, in the order in which they are told.
 MODULE, STANDALONE, LIBRARY, IMPL, KERNEL, DISPATCH = range(6)
@@ -148,6 +148,12 @@ def bindings(files: DataFrame, cuda: DataFrame, skip_keywords: bool = True) -> D
     return _block_rows(files).unionByName(from_kernels).unionByName(dispatches(files, skip_keywords))
 
 
+def detect_bindings(spark, path: str, content: str) -> DataFrame:
+    """Bindings of one file's content, which need not lie anywhere."""
+    one = spark.createDataFrame([(path, path.rpartition(".")[2], content)], "path string, ext string, content string").withColumn("content", newlines(F.col("content")))
+    return bindings(one, kernels(one))
+
+
 def implementations(files: DataFrame, targets: DataFrame) -> DataFrame:
     """native_implementations: definitions at line starts whose name is in targets (name)."""
     parts = []

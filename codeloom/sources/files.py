@@ -6,6 +6,7 @@ Contents are read by Spark. Its readers pass over names that begin with an under
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -95,9 +96,8 @@ def implementation_files(spark: SparkSession, root: str, dirs: list[str]) -> Dat
 def python_files(spark: SparkSession, root: str, dirs: list[str], skip_tests: bool = True) -> DataFrame:
     """Files of the package directories. Tests are skipped by their path below the directory that was scanned."""
     rows = scan(spark, root, dirs, ["py"])
-    below = F.col("rel_path")
-    for d in dirs:
-        below = F.when(F.col("rel_path").startswith(d + "/"), F.substring("rel_path", len(d) + 2, 1 << 30)).otherwise(below)
+    any_dir = "|".join(re.escape(d) for d in sorted(dirs, key=len, reverse=True))
+    below = F.regexp_replace("rel_path", f"^(?:{any_dir})/", "")
     return rows.where(~skipped_python(below)) if skip_tests else rows.where(~F.contains("rel_path", F.lit("__pycache__")))
 
 

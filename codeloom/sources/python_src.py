@@ -6,11 +6,12 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom import constants as C
 from codeloom.functions.text import matches
+from codeloom.sources.files import exists
 
 _FUNCTION = pa.struct([("name", pa.string()), ("qualified_name", pa.string()), ("file_path", pa.string()), ("line_number", pa.int32()), ("is_method", pa.bool_()), ("is_async", pa.bool_()), ("decorators", pa.list_(pa.string())), ("docstring", pa.string()), ("signature", pa.string()), ("class_name", pa.string()), ("cpp_binding", pa.string())])
 _CLASS = pa.struct([("module", pa.string()), ("name", pa.string()), ("qualified_name", pa.string()), ("file_path", pa.string()), ("line_number", pa.int32()), ("bases", pa.list_(pa.string())), ("decorators", pa.list_(pa.string())), ("docstring", pa.string()), ("is_module", pa.bool_()), ("methods", pa.list_(_FUNCTION))])
@@ -98,6 +99,20 @@ def parse_module(path: str, text: str) -> dict | None:
     return out
 
 
+def analyze_file(spark: SparkSession, path: str) -> dict | None:
+    """The nested row of one file; None if it is no Python file, missing or does not parse."""
+    if not path.endswith(".py") or not exists(spark, path):
+        return None
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        text = bytes(stream.readAllBytes()).decode("utf-8", errors="ignore")
+    finally:
+        stream.close()
+    return parse_module(path, text)
+
+
 def _parsed(files: DataFrame, parse, fields: list[tuple], ddl: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -68,6 +69,90 @@ def register(tables: dict[str, DataFrame], prefix: str = "") -> None:
         df.createOrReplaceTempView(prefix + name)
 
 
+class _Json:
+    """A JSON document that is written row by row to whatever file system path names: no more than a row is held."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        self.out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+        self.waiting: list[str] = []
+        self.size = 0
+
+    def put(self, text: str) -> None:
+        self.waiting.append(text)
+        self.size += len(text)
+        if self.size > 1 << 20:
+            self.flush()
+
+    def flush(self) -> None:
+        self.out.write(bytearray("".join(self.waiting).encode()))
+        self.waiting, self.size = [], 0
+
+    def close(self) -> None:
+        self.flush()
+        self.out.close()
+
+    def members(self, rows: DataFrame, begin: str, end: str) -> None:
+        """rows (text): written between begin and end, with commas."""
+        self.put(begin)
+        for i, row in enumerate(rows.toLocalIterator()):
+            self.put(("," if i else "") + row.text)
+        self.put(end)
+
+    def lists(self, rows: DataFrame) -> None:
+        """rows (key, text), sorted by key: an object of lists."""
+        last = None
+        for row in rows.toLocalIterator():
+            self.put("," if row.key == last else ("" if last is None else "],") + json.dumps(row.key) + ":[")
+            self.put(row.text)
+            last = row.key
+        self.put("]" if last is not None else "")
+
+
+def export_json(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> None:
+    """Bindings, kernels, operators, derivatives and definitions as one JSON document, with where and from what state they were taken."""
+    doc = _Json(spark, path)
+    whole = lambda df, *drop: F.to_json(F.struct(*[c for c in df.columns if c not in drop]))
+    keyed = lambda key, text: F.concat(F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.lit(":"), text)
+    meta = tables["index_meta"].first()
+    doc.put('{"metadata":' + json.dumps({"source": meta.source_path, "fingerprint": meta.source_fingerprint} if meta else {}))
+    for name in ("bindings", "cuda_kernels"):
+        t = tables[name]
+        doc.members(t.orderBy("file_path", "ord").select(whole(t, "ord").alias("text")), f',"{name}":[', "]")
+    t = tables["native_functions"]
+    doc.members(t.orderBy("ord", "lookup_name").select(keyed(F.col("lookup_name"), whole(t, "lookup_name", "is_alias", "ord")).alias("text")), ',"native_functions":{', "}")
+    t = tables["derivatives"]
+    doc.members(t.orderBy("name").select(keyed(F.col("name"), whole(t)).alias("text")), ',"derivatives":{', "}")
+    t = tables["native_implementations"]
+    doc.put(',"native_implementations":{')
+    doc.lists(t.orderBy("function_name", "file_path", "ord").select(F.col("function_name").alias("key"), whole(t, "ord").alias("text")))
+    doc.put("}}")
+    doc.close()
+
+
+def export_call_graph(spark: SparkSession, edges: DataFrame, locations: DataFrame, path: str) -> None:
+    """A call graph as one JSON document: callees and callers of each function, and where functions are."""
+    doc = _Json(spark, path)
+    name = lambda c: F.expr(f"substr(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    for i, (part, key, value) in enumerate((("callees", "caller", "callee"), ("callers", "callee", "caller"))):
+        doc.put(("," if i else "{") + f'"{part}":{{')
+        doc.lists(edges.orderBy(key, value).select(F.col(key).alias("key"), name(value).alias("text")))
+        doc.put("}")
+    places = locations.orderBy("name").select(F.concat(name("name"), F.lit(":["), name("file"), F.lit(","), name("cast(line as string)"), F.lit("]")).alias("text"))
+    doc.members(places, ',"function_locations":{', "}}")
+    doc.close()
+
+
+def try_call_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """import_call_graph, or None where there is no such document or it is not one."""
+    try:
+        spark.read.option("mode", "FAILFAST").json(path, multiLine=True).select("callees", "callers", "function_locations").limit(1).collect()
+    except Exception:  # noqa: BLE001
+        return None
+    return import_call_graph(spark, path)
+
+
 def import_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of an index kept as one JSON document: bindings, cuda_kernels, native_functions, derivatives, native_implementations."""
     binding = "python_name string, cpp_name string, type string, file_path string, line int, dispatch_key string, namespace string, cuda_kernel string, signature string"
