@@ -12,7 +12,7 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 def op1() -> str:
     digit = f"substr('{BASE32}', ((('0x' || substr(h, 1 + 10 * (k // 8), 10))::BIGINT >> (35 - 5 * (k % 8))) & 31)::INT + 1, 1)"
     return f"""
-WITH p AS (SELECT page_id, regexp_replace(coalesce(url, ''), '\\s+', '', 'g') AS uri, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+WITH p AS (SELECT page_id, regexp_replace(coalesce(url, ''), '[\\x09-\\x0D\\x20]+', '', 'g') AS uri, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
 SELECT page_id, n::BIGINT AS payload_bytes, list_reduce(list_transform(range(0, 32), lambda k: {digit}), lambda a, b: a || b) AS payload_digest,
   CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to, uri,

@@ -7,16 +7,18 @@ chunks of ``chunk_bytes``; neither Python side ever holds a whole record.
 Equal payloads of ``min_revisit_bytes`` or more are stored once: the record of the smallest id is a response, others are revisits that
 refer to it. The smallest id of each digest is a combinable aggregate; joining it back is a sort-merge join, whose skewed
 partitions (a payload in a third of all rows) Spark splits. Each task writes files of its own under a fresh name and reports them
-in its manifest rows, so what a failed or repeated attempt left behind is never read.
+in its manifest rows, so what a failed or repeated attempt left behind is never read. A file begins with a warcinfo record. Record ids are UUIDs made of
+page id and digest, so a revisit can name its response's; page ids themselves are in fields of their own.
 
 Edge cases: a null payload is an empty one; a null id is written as null, comes after all others, and is a response only where no row
-of its payload has an id; repeated rows of a smallest id are all responses; line breaks in a URL are removed; an empty table writes nothing.
+of its payload has an id; repeated rows of a smallest id are all responses, with one record id; ASCII white space in a URL is removed; an empty table writes nothing.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,6 +33,8 @@ from codeloom.llm.common import partitions, shared_dir
 CHUNK_BYTES = 1 << 20
 FILE_BYTES = 1 << 30
 DATE = "2000-01-01T00:00:00Z"
+#: White space that a URI cannot hold.
+_SPACE = re.compile("[\t-\r ]+")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNKS = "page_id long, record_type string, refers_to long, uri string, chunk_no long, chunk_bytes long, payload_bytes long, payload_digest string, is_last boolean, chunk binary"
 
@@ -58,6 +62,10 @@ class _Archive:
         if self.out is None:
             self.path, self.size, self.records = f"{self.dir}/{uuid.uuid4().hex}.warc.gz", 0, 0
             self.out = self.fs.open_output_stream(self.path, compression=None)
+            self.member = zlib.compressobj(1, zlib.DEFLATED, 31)
+            self.put(_info(self.path.rpartition("/")[2]))
+            self.end()
+            self.records = 0
         self.member = zlib.compressobj(1, zlib.DEFLATED, 31)
         self.put(head)
 
@@ -81,16 +89,28 @@ class _Archive:
         return [(self.path, self.size, self.records)]
 
 
+def record_id(page: int | None, digest: str) -> str:
+    """The same for equal rows, so that a revisit knows its response's; a row without an id has one that nothing refers to."""
+    return f"<{(uuid.uuid4() if page is None else uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{digest}')).urn}>"
+
+
 def _head(page: int | None, uri: str, digest: str, length: int, first: int | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n"
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'null' if page is None else page}>", f"WARC-Date: {DATE}"]
-    lines += [f"WARC-Target-URI: {''.join(uri.split())}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(page, digest)}", f"WARC-Date: {DATE}"]
+    lines += [f"WARC-Target-URI: {_SPACE.sub('', uri)}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Page-ID: {'null' if page is None else page}"]
     if first is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{first}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first, digest)}", f"Refers-To-Page-ID: {first}"]
     lines.append(f"Content-Length: {len(http) + (length if first is None else 0)}")
     return ("\r\n".join(lines) + "\r\n\r\n" + http).encode()
 
 
+def _info(name: str) -> bytes:
+    """The record that begins a file."""
+    body = "software: codeloom\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <{uuid.uuid4().urn}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return ("\r\n".join(lines) + "\r\n\r\n" + body).encode()
+
+
 def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """pages (page_id, url, html) -> manifest: path, file_bytes, records. Files are written when the result is read."""
     folder = folder or shared_dir(pages.sparkSession, "warc")
@@ -173,9 +193,8 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode().split("\r\n")[1:]) if k}
 
 
-def _page(uri: str) -> int | None:
-    x = uri.strip("<>").rpartition(":")[2]
-    return None if x == "null" else int(x)
+def _page(value: str | None) -> int | None:
+    return None if value in (None, "null") else int(value)
 
 
 def records(stream, chunk_bytes: int, with_payload: bool) -> Iterator[tuple]:
@@ -183,10 +202,16 @@ def records(stream, chunk_bytes: int, with_payload: bool) -> Iterator[tuple]:
     source = _Members(stream)
     while (head := source.until(b"\r\n\r\n")) is not None:
         warc = _fields(head)
+        if warc["warc-type"] not in ("response", "revisit"):  # what begins a file, or a record of another writer
+            left = int(warc["content-length"])
+            while left:
+                left -= len(source.take(left))
+            source.until(b"\r\n\r\n")
+            continue
         http = source.until(b"\r\n\r\n")
         left = int(warc["content-length"]) - len(http)
         digest = warc["warc-payload-digest"].removeprefix("sha1:")
-        own = (_page(warc["warc-record-id"]), warc["warc-type"], _page(warc["warc-refers-to"]) if "warc-refers-to" in warc else None, warc["warc-target-uri"])
+        own = (_page(warc["page-id"]), warc["warc-type"], _page(warc.get("refers-to-page-id")), warc["warc-target-uri"])
         if own[1] == "revisit":
             yield *own, 0, 0, int(_fields(http)["content-length"]), digest, True, None
         else:

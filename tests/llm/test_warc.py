@@ -45,3 +45,25 @@ def test_round_trip(spark):
     so_far = hashlib.sha1(b"y" * 777 * 5).digest()
     assert own[4].payload_digest == base64.b32encode(so_far).decode() and own[4].payload_bytes == 777 * 5
     assert warc.archive_pages(df.limit(0)).collect() == []
+
+
+def test_records_refer_to_records(spark):
+    """Files begin with a warcinfo record; record ids are UUIDs, and every revisit names a response's."""
+    rows = pages(random.Random(7))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    paths = [r.path for r in warc.write_archives(df, shared_dir(spark, "warc"), file_bytes=3_000).collect()]
+    ids, refers = {}, []
+    for path in paths:
+        data = gzip.open(path).read().decode()
+        assert data.startswith("WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+        for line in data.split("\r\n"):
+            key, _, value = line.partition(": ")
+            if key == "WARC-Type":
+                kind = value
+            if key == "WARC-Record-ID":
+                assert value.startswith("<urn:uuid:")
+                ids.setdefault(value, []).append(kind)
+            if key == "WARC-Refers-To":
+                refers.append(value)
+    assert refers and all(ids[x][0] == "response" for x in refers)
+    assert sorted(len(v) for v in ids.values())[-2:] == [1, 2]  # the two equal rows of page 1
