@@ -12,12 +12,17 @@ from codeloom.operators.ranking import dedupe_first, top_k_with_total
 from codeloom.sources.store import materialize
 
 
-def vertices(edges: DataFrame, locations: DataFrame | None = None) -> DataFrame:
-    """name: every caller, callee and located function, once."""
+def _named_in(edges: DataFrame, locations: DataFrame | None = None) -> DataFrame:
+    """name, with repeats."""
     out = edges.select(F.col("caller").alias("name")).union(edges.select(F.col("callee").alias("name")))
     if locations is not None:
         out = out.union(locations.select("name"))
-    return out.where("name is not null").distinct()
+    return out.where("name is not null")
+
+
+def vertices(edges: DataFrame, locations: DataFrame | None = None) -> DataFrame:
+    """name: every caller, callee and located function, once."""
+    return _named_in(edges, locations).distinct()
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
@@ -32,7 +37,7 @@ def _named(spark, name: str) -> DataFrame:
 def neighbours(edges: DataFrame, locations: DataFrame, queries: DataFrame, outgoing: bool, fuzzy: bool = True) -> DataFrame:
     """query, matched, name, file, line: callees (outgoing) or callers of every function that matches a query."""
     near, far = ("caller", "callee") if outgoing else ("callee", "caller")
-    found = qualified_match(queries, vertices(edges, locations), fuzzy).select("query", F.col("name").alias("matched"))
+    found = qualified_match(queries, _named_in(edges, locations), fuzzy).select("query", F.col("name").alias("matched"))
     steps = found.join(edges.select(F.col(near).alias("matched"), F.col(far).alias("name")), "matched")
     return steps.join(locations.select("name", "file", "line"), "name", "left").select("query", "matched", "name", "file", "line")
 
@@ -44,29 +49,43 @@ def listed(edges: DataFrame, locations: DataFrame, name: str, outgoing: bool, k:
     return top_k_with_total(rows, k, [F.col("name")])
 
 
+#: Names of this many bytes together are sent to every task; more are joined by a shuffle.
+SMALL = 32 << 20
+
+
+def _sized(names: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of the names of a level that lies in the shared folder."""
+    n, size = names.agg(F.count(F.lit(1)), F.sum(F.octet_length("name"))).first()
+    return n, size or 0
+
+
 def impact(edges: DataFrame, name: str, depth: int = 2, fuzzy: bool = True, limit_depth: int = MAX_DEPTH) -> DataFrame:
     """name, depth: everything that calls the function, over at most depth steps (1 to limit_depth), at its least depth.
 
     The first step starts from all functions that match the name; only the literal name is never reported. Each level is one semi join of the
     edges with the frontier and one anti join with what was seen, written to the shared folder: no level is computed twice, and a
-    lost executor costs one level at most.
+    lost executor costs one level at most. Every level is measured, and sent to all tasks if it is small: then the edges are scanned where they lie,
+    however many of them one callee has. A large frontier is joined by a shuffle, in which the edges' side may be split.
     """
     depth = clamp(depth, 1, limit_depth)
     spark = edges.sparkSession
     if edges.where((F.col("caller") == name) | (F.col("callee") == name)).isEmpty():  # an exact name needs no look at all others
-        start = qualified_match(_named(spark, name), vertices(edges), fuzzy).select(F.col("name").alias("callee"))
+        start = qualified_match(_named(spark, name), _named_in(edges), fuzzy).select("name")
+        start = materialize(start, "impact-0")
     else:
-        start = spark.createDataFrame([(name,)], "callee string")
-    frontier, seen = start, None
+        start = spark.createDataFrame([(name,)], "name string")
+    sent = lambda df, size: F.broadcast(df) if size <= SMALL else df
+    frontier, size, seen, total = start, _sized(start)[1], None, 0
     for level in range(1, depth + 1):
-        step = edges.join(frontier, "callee", "left_semi").select(F.col("caller").alias("name")).where(F.col("name") != name).distinct()
+        step = edges.join(sent(frontier.withColumnRenamed("name", "callee"), size), "callee", "left_semi").select(F.col("caller").alias("name")).where(F.col("name") != name).distinct()
         if seen is not None:
-            step = step.join(seen, "name", "left_anti")
+            step = step.join(sent(seen.select("name"), total), "name", "left_anti")
         step = materialize(step.withColumn("depth", F.lit(level).cast("long")), f"impact-{level}")
-        seen = step if seen is None else seen.unionByName(step)
-        if step.isEmpty():
+        n, size = _sized(step)
+        seen, total = step if seen is None else seen.unionByName(step), total + size
+        if not n:
             break
-        frontier = step.select(F.col("name").alias("callee"))
+        frontier = step.select("name")
     return seen
 
 

@@ -7,11 +7,12 @@ name of each query is a min_by, so only one row for each query and task is shuff
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import scope_base
-from codeloom.operators.ranking import top_k
+from codeloom.operators.ranking import best_tier, top_k
+from codeloom.sources.store import materialize
 
 MAX_QUERIES = 10_000
 
@@ -74,21 +75,36 @@ def fuzzy_match(queries: DataFrame, names: DataFrame, max_results: int = 10) ->
     return top_k(rows, max_results, [F.col("priority"), F.length("name"), F.col("name")], ["query"])
 
 
+def _suffixes(name: Column) -> Column:
+    """The name and what follows each of its scope marks: a::b::c, b::c, c."""
+    parts = F.split(name, "::")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "::"))
+
+
 def qualified_match(queries: DataFrame, vertices: DataFrame, fuzzy: bool = True, limit: int = 20, nearest: int = 10) -> DataFrame:
-    """vertices (name) -> query, name, tier: 0 exact; 1 all that end in ::query; 2 holding it; 3 nearest by base name. Lowest tier only.
+    """vertices (name, repeats allowed) -> query, name, tier: 0 exact; 1 all that end in ::query; 2 holding it; 3 nearest by base name. Lowest tier only.
 
-    Tiers 0 and 1 are unbounded; of the others the limit shortest stay.
+    Tiers 0 and 1 are unbounded and come by an equality join: of a name with its suffixes at scope marks. Only for the queries that these leave are
+    all names looked at, once; of those tiers the limit shortest (the nearest) stay, so a rank limit sits below the shuffle.
     """
-    base = scope_base(F.col("name"))
-    exact = F.when(F.col("name") == F.col("query"), 0)
+    wanted = queries.select("query").where("query is not null").distinct()
+    if wanted.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries; run them in parts")
+    names = vertices.select("name")
     if not fuzzy:
-        return _pairs(queries, vertices.select("name").distinct()).withColumn("tier", exact).where("tier = 0")
-    d = F.when(F.length("query") >= 4, _distance(base, _bound(2, 3), 3))
-    tier = exact.when(F.col("name").endswith(F.concat(F.lit("::"), F.col("query"))), 1).when(_low("name").contains(_low("query")), 2).when(d.isNotNull(), 3)
-    rows = _pairs(queries, vertices.select("name").distinct()).withColumn("tier", tier).withColumn("by", F.when(F.col("tier") == 3, d).otherwise(0)).where("tier is not null")
-    rows = rows.select("query", "name", "tier", "by")
-    least = rows.groupBy("query").agg(F.min("tier").alias("least"))
-    rows = rows.join(least, "query").where("tier = least").drop("least")
-    near = top_k(rows.where("tier = 3"), nearest, [F.col("by"), F.length("name"), F.col("name")], ["query"]).drop("rank")
-    held = top_k(rows.where("tier = 2"), limit, [F.length("name"), F.col("name")], ["query"]).drop("rank")
-    return rows.where("tier < 2").unionByName(held).unionByName(near).drop("by")
+        return names.join(F.broadcast(wanted), F.col("name") == F.col("query")).distinct().select("query", "name", F.lit(0).alias("tier"))
+    ends = names.select("name", F.explode(_suffixes(F.col("name"))).alias("query")).join(F.broadcast(wanted), "query")
+    ends = ends.select("query", "name", F.when(F.col("name") == F.col("query"), 0).otherwise(1).alias("tier")).distinct()
+    ends = materialize(best_tier(ends, ["query"], "tier").select("query", "name", "tier"), "matched")
+    rest = wanted.join(ends, "query", "left_anti")
+    if rest.isEmpty():
+        return ends
+    d = F.when(F.length("query") >= 4, _distance(scope_base(F.col("name")), _bound(2, 3), 3))
+    tier = F.when(_low("name").contains(_low("query")), 2).when(d.isNotNull(), 3)
+    rows = _pairs(rest, names).withColumn("tier", tier).where("tier is not null").withColumn("by", F.when(F.col("tier") == 3, d).otherwise(0))
+    rows = rows.select("query", "name", "tier", "by").distinct()
+    order = [F.col("tier"), F.col("by"), F.length("name"), F.col("name")]
+    top = top_k(rows, max(limit, nearest), order, ["query"])
+    least = F.min("tier").over(Window.partitionBy("query"))
+    top = top.withColumn("least", least).where("tier = least").where(F.col("rank") <= F.when(F.col("tier") == 2, limit).otherwise(nearest))
+    return ends.unionByName(top.select("query", "name", "tier"))

@@ -48,7 +48,7 @@ _EDGES = """(SELECT DISTINCT caller, callee FROM (
   UNION ALL SELECT 'supplier::' || s_suppkey, 'nation::' || s_nationkey FROM supplier
   UNION ALL SELECT 'orders::' || o_orderkey, 'customer::' || o_custkey FROM orders
   UNION ALL SELECT 'lineitem::' || l_orderkey || '.' || l_linenumber, 'orders::' || l_orderkey FROM lineitem))"""
-_CYCLIC = """(SELECT DISTINCT caller, callee FROM (SELECT 'u::' || user_id AS caller, 'u::' || lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS callee FROM events) WHERE caller <> callee)"""
+_CYCLIC = """(SELECT DISTINCT caller, callee FROM (SELECT 'u::' || user_id AS caller, 'u::' || lead(user_id) OVER (PARTITION BY event_type, ts::DATE ORDER BY ts, event_id) AS callee FROM events) WHERE caller <> callee)"""
 _LOCATIONS = """(SELECT 'nation::' || n_nationkey AS name, 'nation.tbl' AS file, n_nationkey::INT AS line FROM nation UNION ALL SELECT 'customer::' || c_custkey, 'customer.tbl', c_custkey::INT FROM customer)"""
 
 
@@ -74,7 +74,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 def cyclic_edges(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    w = Window.partitionBy("event_type", F.to_date("ts")).orderBy("ts", "event_id")  # no window grows with the table
     rows = _t(spark, d, "events").select(F.concat(F.lit("u::"), "user_id").alias("caller"), F.concat(F.lit("u::"), F.lead("user_id").over(w)).alias("callee"))
     return G.merge_edges(rows)
 
@@ -518,6 +518,11 @@ def last_wins(spark: SparkSession, d: str) -> DataFrame:
     return R.last_wins(_t(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"])
 
 
+@_query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS minute FROM events")
+def event_minutes(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "events").select("event_id", X.minute(F.col("ts")).alias("minute"))
+
+
 @_query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k, '{\"id\":' || event_id || ',\"k\":' || json_extract_string(props, '$.k') || '}' AS doc FROM events")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     k = F.from_json("props", "k int")["k"]
