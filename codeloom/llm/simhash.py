@@ -314,7 +314,10 @@ def _band_keys(fp):
 
 
 def near_links(rows: DataFrame, radius: int = 3, limit: int = 8192) -> DataFrame:
-    """rows (key, fp), distinct -> a, b: links that span the groups of each key's block."""
+    """rows (key, fp), distinct -> a, b: links that span the groups of each key's block.
+
+    A block of more than limit fingerprints is dealt to parts, and all pairs of parts are compared: each of its rows is then sent count / limit times.
+    """
     n = partitions(rows.sparkSession)
     hot = rows.groupBy("key").count().where(F.col("count") > limit).select("key", F.ceil(F.col("count") / limit).alias("parts"))
     if not hot.isEmpty():
