@@ -1,6 +1,6 @@
 """Fuzzy lookup: sets of queries against sets of names.
 
-A query list is the small side: it is counted, and a list beyond ``MAX_QUERIES`` is refused rather than broadcast. Names are
+A query list is the small side: it is counted, and sent to every task if it has at most ``MAX_QUERIES`` queries. Names are
 scanned once, whatever their number: length bands come first, then the three-argument levenshtein, which gives up at the bound. The best
 name of each query is a min_by, so only one row for each query and task is shuffled.
 """
@@ -17,11 +17,16 @@ from codeloom.sources.store import materialize
 MAX_QUERIES = 10_000
 
 
-def _pairs(queries: DataFrame, names: DataFrame) -> DataFrame:
+def _listed(queries: DataFrame) -> tuple[DataFrame, bool]:
+    """The queries, each once, and whether they are few enough to be sent to every task."""
     queries = queries.select("query").where("query is not null").distinct()
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; run them in parts")
-    return names.crossJoin(F.broadcast(queries))
+    return queries, queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
+
+
+def _pairs(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """Every name beside every query of the list. A long list is not sent whole: Spark pairs partitions of it with partitions of the names."""
+    queries, few = _listed(queries)
+    return names.crossJoin(F.broadcast(queries) if few else queries)
 
 
 def _low(c: str) -> Column:
@@ -87,13 +92,11 @@ def qualified_match(queries: DataFrame, vertices: DataFrame, fuzzy: bool = True,
     Tiers 0 and 1 are unbounded and come by an equality join: of a name with its suffixes at scope marks. Only for the queries that these leave are
     all names looked at, once; of those tiers the limit shortest (the nearest) stay, so a rank limit sits below the shuffle.
     """
-    wanted = queries.select("query").where("query is not null").distinct()
-    if wanted.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; run them in parts")
-    names = vertices.select("name")
+    wanted, few = _listed(queries)
+    names, sent = vertices.select("name"), F.broadcast(wanted) if few else wanted
     if not fuzzy:
-        return names.join(F.broadcast(wanted), F.col("name") == F.col("query")).distinct().select("query", "name", F.lit(0).alias("tier"))
-    ends = names.select("name", F.explode(_suffixes(F.col("name"))).alias("query")).join(F.broadcast(wanted), "query")
+        return names.join(sent, F.col("name") == F.col("query")).distinct().select("query", "name", F.lit(0).alias("tier"))
+    ends = names.select("name", F.explode(_suffixes(F.col("name"))).alias("query")).join(sent, "query")
     ends = ends.select("query", "name", F.when(F.col("name") == F.col("query"), 0).otherwise(1).alias("tier")).distinct()
     ends = materialize(best_tier(ends, ["query"], "tier").select("query", "name", "tier"), "matched")
     rest = wanted.join(ends, "query", "left_anti")
