@@ -30,8 +30,8 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     return edges.where("caller <> callee").select("caller", "callee").distinct()
 
 
-def _named(spark, name: str) -> DataFrame:
-    return spark.createDataFrame([(name,)], "query string")
+def _named(spark, name: str, column: str = "query") -> DataFrame:
+    return spark.range(1).select(F.lit(name).alias(column))
 
 
 def neighbours(edges: DataFrame, locations: DataFrame, queries: DataFrame, outgoing: bool, fuzzy: bool = True) -> DataFrame:
@@ -72,10 +72,11 @@ def impact(edges: DataFrame, name: str, depth: int = 2, fuzzy: bool = True, limi
     if edges.where((F.col("caller") == name) | (F.col("callee") == name)).isEmpty():  # an exact name needs no look at all others
         start = qualified_match(_named(spark, name), _named_in(edges), fuzzy).select("name")
         start = materialize(start, "impact-0")
+        size = _sized(start)[1]
     else:
-        start = spark.createDataFrame([(name,)], "name string")
+        start, size = _named(spark, name, "name"), len(name)
     sent = lambda df, size: F.broadcast(df) if size <= SMALL else df
-    frontier, size, seen, total = start, _sized(start)[1], None, 0
+    frontier, seen, total = start, None, 0
     for level in range(1, depth + 1):
         step = edges.join(sent(frontier.withColumnRenamed("name", "callee"), size), "callee", "left_semi").select(F.col("caller").alias("name")).where(F.col("name") != name).distinct()
         if seen is not None:
