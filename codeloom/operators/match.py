@@ -80,24 +80,24 @@ def fuzzy_match(queries: DataFrame, names: DataFrame, max_results: int = 10) ->
     return top_k(rows, max_results, [F.col("priority"), F.length("name"), F.col("name")], ["query"])
 
 
-def _suffixes(name: Column) -> Column:
-    """The name and what follows each of its scope marks: a::b::c, b::c, c."""
-    parts = F.split(name, "::")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "::"))
+def _last(name: str) -> Column:
+    """What follows the last colon: equal for a name and for every query that it equals or ends in at a scope mark."""
+    return F.substring_index(F.col(name), ":", -1)
 
 
 def qualified_match(queries: DataFrame, vertices: DataFrame, fuzzy: bool = True, limit: int = 20, nearest: int = 10) -> DataFrame:
     """vertices (name, repeats allowed) -> query, name, tier: 0 exact; 1 all that end in ::query; 2 holding it; 3 nearest by base name. Lowest tier only.
 
-    Tiers 0 and 1 are unbounded and come by an equality join: of a name with its suffixes at scope marks. Only for the queries that these leave are
-    all names looked at, once; of those tiers the limit shortest (the nearest) stay, so a rank limit sits below the shuffle.
+    Tiers 0 and 1 are unbounded and come by one equality join on what follows the last colon, so each name is read once and no list of its
+    suffixes is made. Only for the queries that these leave are all names looked at, once; of those tiers the limit shortest (the nearest) stay, so a rank limit sits below the shuffle.
     """
     wanted, few = _listed(queries)
     names, sent = vertices.select("name"), F.broadcast(wanted) if few else wanted
     if not fuzzy:
         return names.join(sent, F.col("name") == F.col("query")).distinct().select("query", "name", F.lit(0).alias("tier"))
-    ends = names.select("name", F.explode(_suffixes(F.col("name"))).alias("query")).join(sent, "query")
-    ends = ends.select("query", "name", F.when(F.col("name") == F.col("query"), 0).otherwise(1).alias("tier")).distinct()
+    same = F.col("name") == F.col("query")
+    ends = names.join(sent, (_last("name") == _last("query")) & (same | F.endswith("name", F.concat(F.lit("::"), "query"))))
+    ends = ends.select("query", "name", F.when(same, 0).otherwise(1).alias("tier")).distinct()
     ends = materialize(best_tier(ends, ["query"], "tier").select("query", "name", "tier"), "matched")
     rest = wanted.join(ends, "query", "left_anti")
     if rest.isEmpty():

@@ -185,7 +185,7 @@ SELECT query, name, file, line, rank, total FROM r WHERE rank <= {k}"""
 
 
 def _neighbour(spark: SparkSession, d: str, queries: list[str], outgoing: bool) -> DataFrame:
-    q = spark.createDataFrame([(x,) for x in queries], "query string")
+    q = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in queries])).alias("query"))
     rows = G.neighbours(materialize(edges(spark, d), "edges"), locations(spark, d), q, outgoing)
     rows = R.dedupe_first(rows, ["query", "name"], ["matched"]).drop("matched")
     return R.top_k_with_total(rows, 15, [F.col("name")], ["query"])

@@ -129,6 +129,18 @@ def test_qualified_match(spark):
     assert run("gexm") == ["at::Gemv", "at::gemm", "at::native::gemm", "gemm"] and run("gexm", False) == [] and run("gem") != []
 
 
+def test_scope_ends_against_brute_force(spark):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("ab:") for _ in range(rng.randrange(n)))
+    pool, asked = sorted({text(8) for _ in range(120)}), sorted({text(5) for _ in range(40)})
+    got = {(r.query, r.name, r.tier) for r in M.qualified_match(q(spark, *asked), names(spark, *pool)).collect() if r.tier < 2}
+    want = set()
+    for query in asked:
+        hits = {(query, x, 0 if x == query else 1) for x in pool if x == query or x.endswith("::" + query)}
+        want |= {h for h in hits if h[2] == min(t for *_, t in hits)}
+    assert got == want and {t for *_, t in got} == {0, 1}
+
+
 def bfs(edges, seeds, name, depth):
     seen, level = {}, set(seeds)
     for k in range(1, depth + 1):
