@@ -6,11 +6,14 @@ gives the same copies. Each document is exploded by its count, and copies are de
 replica) and sorted there: a global shuffle in one exchange, with no sampling pass, and even for any mix of sources.
 
 Edge cases: a null source is a source of its own; a null doc_id draws as the word null; repeated rows draw alike and
-stay as many; columns keep their names and values whatever they are called; sources without a weight take ``default_weight``; an empty table gives no rows.
+stay as many; columns keep their names and values whatever they are called; sources without a weight take ``default_weight``; a source of
+weight zero has no copies (no rows are left if all are zero), and negative or endless weights are refused; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +30,16 @@ def _uniform(*parts: Column) -> Column:
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None, epoch: float = 1.0, default_weight: float = 1.0) -> DataFrame:
     """-> source, rate, parts, cdf: the Poisson distribution of rate / parts up to where it is 1 in double precision."""
+    if not all(0 <= w < math.inf for w in [epoch, default_weight, *(weights or {}).values()]):
+        raise ValueError("weights and epoch must be finite and not negative")
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     weight = F.lit(float(default_weight))
     for name, w in sorted((weights or {}).items()):
         weight = F.when(F.col("source") == name, F.lit(float(w))).otherwise(weight)
     counts = counts.withColumn("w", weight)
     sums = counts.agg(F.sum("n").alias("total"), F.sum("w").alias("all_w"))
-    rates = counts.join(F.broadcast(sums)).select("source", (F.col("w") / F.col("all_w") * F.col("total") * epoch / F.col("n")).alias("rate"))
+    share = F.coalesce(F.try_divide(F.col("w"), F.col("all_w")), F.lit(0.0))
+    rates = counts.join(F.broadcast(sums)).select("source", (share * F.col("total") * epoch / F.col("n")).alias("rate"))
     rates = rates.withColumn("parts", F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")).withColumn("mean", F.col("rate") / F.col("parts"))
     last = (F.col("mean") + 12 * F.sqrt("mean") + 24).cast("int")
     start = F.struct(F.exp(-F.col("mean")).alias("p"), F.exp(-F.col("mean")).alias("c"), F.array(F.exp(-F.col("mean"))).alias("all"))

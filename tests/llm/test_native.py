@@ -232,3 +232,7 @@ def test_mixing(spark):
     rate = mixing.source_rates(docs, {"a": 1.0, "b": 3.0}, 1000.0, 0.0).where("source = 'b'").first()
     assert rate.parts == math.ceil(rate.rate / mixing.PART) and rate.cdf[-1] == pytest.approx(1)
     assert mixing.mix_sources(docs.limit(0)).collect() == []
+    assert mixing.mix_sources(docs, {"a": 0.0}, default_weight=0.0).collect() == []
+    for wrong in ({"weights": {"a": -1.0}}, {"epoch": math.inf}, {"default_weight": math.nan}):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(docs, **wrong)
