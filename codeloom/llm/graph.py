@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize
+from codeloom.llm.common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,16 +25,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a, b) of any orderable type -> node, root: the smallest node of its component, for every node with an edge.
 
-    Each round is written to the shared folder, so lineage stays short. Rounds grow with the logarithm of the longest path.
+    Each round is written to the shared folder, so lineage stays short, and then the round before is deleted: one table of edges stays.
+    Rounds grow with the logarithm of the longest path.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    edges, before = materialize(edges, "edges"), None
+    (edges, path), before = written(edges, "edges"), None
     for _ in range(rounds):
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("a", "b"), 24))).first())
         if state == before or not state[0]:
             break
         before = state
-        edges = materialize(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        last = path
+        edges, path = written(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        discard(edges.sparkSession, last)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
