@@ -112,12 +112,14 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, size))
 
 
-def with_fingerprints(df: DataFrame, shingle: int = 3, text: str = "text", fp: str = "fp", keys: str | None = None) -> DataFrame:
-    """Adds column fp (long) and, if keys is given, an array of MinHash band keys. All other columns pass.
+def with_fingerprints(df: DataFrame, shingle: int = 3, text: str = "text", fp: str = "fp", keys: str | None = None, keep_text: bool = True) -> DataFrame:
+    """Adds column fp (long) and, if keys is given, an array of MinHash band keys. All other columns pass; the text only if keep_text.
 
     With keys, a shingle counts once a text, and columns set_id (XXH128 of the set of shingles) and set_size come last.
     """
 
+    passed = [c for c in df.columns if keep_text or c != text]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, bands, ids, counts = [], [], [], []
@@ -145,7 +147,7 @@ def with_fingerprints(df: DataFrame, shingle: int = 3, text: str = "text", fp: s
                     flush()
                     waiting = 0
             flush()
-            columns = [*batch.columns, pa.array(np.concatenate(fps).view(np.int64))]
+            columns = [*[batch.column(c) for c in passed], pa.array(np.concatenate(fps).view(np.int64))]
             if keys:
                 flat = np.concatenate(bands)
                 columns.append(pa.ListArray.from_arrays(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32), flat.reshape(-1).view(np.int64)))
@@ -153,8 +155,8 @@ def with_fingerprints(df: DataFrame, shingle: int = 3, text: str = "text", fp: s
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
     names = [fp] + ([keys, "set_id", "set_size"] if keys else [])
-    types = [f.dataType for f in df.schema.fields] + [T.LongType()] + ([T.ArrayType(T.LongType()), T.BinaryType(), T.LongType()] if keys else [])
-    return df.mapInArrow(run, T.StructType([T.StructField(f"c{i}", t) for i, t in enumerate(types)])).toDF(*df.columns, *names)
+    types = [df.schema[c].dataType for c in passed] + [T.LongType()] + ([T.ArrayType(T.LongType()), T.BinaryType(), T.LongType()] if keys else [])
+    return df.mapInArrow(run, T.StructType([T.StructField(f"c{i}", t) for i, t in enumerate(types)])).toDF(*passed, *names)
 
 
 # ---------------------------------------------------------------- bit-sliced comparison
@@ -346,7 +348,7 @@ def near_groups(rows: DataFrame, radius: int = 3, keys: str | None = None, limit
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, limit: int = 8192) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id."""
-    rows = materialize(with_fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "fp"), "simhash")
+    rows = materialize(with_fingerprints(docs.select("doc_id", "text"), shingle, keep_text=False), "simhash")
     out = rows.join(near_groups(rows, radius, limit=limit), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -457,7 +459,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 20, least:
     nothing by itself. Among rows that share the smallest doc_id the one whose text has the smallest hash stays; of equal rows one stays.
     """
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.xxhash64("text").alias("h")]
-    rows = materialize(with_fingerprints(docs.select(*key, "text"), shingle, keys="keys").select("d", "h", "fp", "keys", "set_id", "set_size"), "simhash")
+    rows = materialize(with_fingerprints(docs.select(*key, "text"), shingle, keys="keys", keep_text=False), "simhash")
     repeated = not rows.groupBy("d", "h").count().where("count > 1").isEmpty()
     places = components(near_links(rows.select(F.explode("keys").alias("key"), "fp").distinct(), radius)).select(F.col("node").alias("fp"), "root")
     nodes = rows.groupBy("set_id").agg(F.min("fp").alias("fp"), F.min("set_size").alias("set_size"), F.min(F.struct("d", "h")).alias("at"))
